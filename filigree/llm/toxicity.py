@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filigree.llm.common import pick
 
@@ -208,14 +209,13 @@ def fit(
     return train([r[1] for r in rows], y, s)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) for whole texts.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score (0 to 1) for whole texts, and the columns in ``keep`` as they are.
 
     Null and empty texts get the score of the bias alone.  Repeated rows and null
     ids are kept; an empty table gives no rows.
     """
-    sc = docs.sparkSession.sparkContext
-    held = sc.broadcast((model.weights, model.bias, model.settings))
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.settings))
 
     def run(batches):
         import pyarrow as pa
@@ -223,9 +223,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         own = _loaded(held)
         for batch in batches:
             scores = [own.score(t.as_py() or "") for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            rest = [batch.column(2 + i) for i in range(len(keep))]
+            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), *rest], names=["doc_id", "score", *keep])
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, score double")
+    rows = pick(docs, doc_id=id_col, __text=text_col, **{k: k for k in keep})
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), *(rows.schema[k] for k in keep)])
+    return rows.mapInArrow(run, schema)
 
 
 _MODELS: dict[tuple, Model] = {}
