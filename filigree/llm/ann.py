@@ -3,10 +3,10 @@
 A vector's hash in one of several tables is the cell it falls in: each of a few
 Gaussian projections, shifted and cut into steps of a width.  A query visits
 its own cell and perturbed ones, in the order of the estimated chance that a
-wanted neighbour fell there, until the estimates add up to a target.  Under a
-Gaussian projection a neighbour at distance d lies around the query's own
-projection with deviation d, which gives the chance of each step, and the chance
-of a cell is their product.  The best cells are found projection by projection:
+wanted neighbour fell there, until the estimates add up to a target.  A
+neighbour at distance d, both of norm 1, has the cosine c = 1 - d^2 / 2; given the
+query's projection p, its own is normal around c p with variance 1 - c^2, which
+gives the chance of each step, and the chance of a cell is their product.  The best cells are found projection by projection:
 a prefix that is not among the best cannot begin one of the best.
 
 Vectors are dealt out by table and coarse cell, in pieces of bounded size, so
@@ -34,15 +34,17 @@ from filigree.llm.common import pick, settle
 @dataclass(frozen=True)
 class Settings:
     k: int = 20
-    tables: int = 3
-    projections: int = 10
+    tables: int = 4
+    projections: int = 12
     #: The first projections name the coarse cell by which vectors are dealt out.
     coarse: int = 2
     #: Step of a projection, in parts of the largest norm; steps beyond +-reach are one.
     width: float = 1.0
-    reach: int = 2
+    reach: int = 1
+    #: Most of a step that a projection is shifted by.
+    shift: float = 0.1
     #: Chance in each table that a visited cell holds a neighbour, as estimated.
-    target: float = 0.62
+    target: float = 0.48
     #: Most cells that a query visits in a table; beyond, all cells are visited.
     probes: int = 4096
     #: Distance of wanted neighbours, in parts of the largest norm; None: estimated
@@ -74,7 +76,7 @@ class Hasher:
         self.steps = 2 * s.reach
         m = s.tables * s.projections
         self.a = rng.normal(0, 1, (dim + 1, m))
-        self.b = rng.uniform(-0.5, 0.5, m) * s.width
+        self.b = rng.uniform(-0.5, 0.5, m) * s.width * s.shift
 
     def project(self, x):
         """Rows of x, divided by the largest norm and completed, on all projections."""
@@ -110,9 +112,11 @@ class Hasher:
         import numpy as np
 
         s = self.s
-        sigma = self.distance / s.width
+        near = 1 - self.distance**2 / 2
+        shift = self.b / s.width
+        middle = near * (projected - shift) + shift
         edges = np.arange(-s.reach + 1, s.reach)
-        low = _phi((edges[None, :] - projected.reshape(-1, 1)) / sigma)
+        low = _phi((edges[None, :] - middle.reshape(-1, 1)) * s.width / math.sqrt(max(1e-9, 1 - near * near)))
         chance = np.diff(np.concatenate([np.zeros((len(low), 1)), low, np.ones((len(low), 1))], axis=1), axis=1)
         chance = chance.reshape(s.tables, s.projections, self.steps)
         out = []
@@ -240,22 +244,27 @@ def nearest(
             fine = fine[order]
             cell, first = np.unique(fine, return_index=True)
             last = np.append(first[1:], len(fine))
-            for a in range(0, right.num_rows, 512):
-                part = right.slice(a, 512)
+            for a in range(0, right.num_rows, 256):
+                part = right.slice(a, 256)
                 q = np.frombuffer(b"".join(part["vec"].to_pylist()), "<f8").reshape(-1, dim)
                 own = part["query_id"].to_pylist()
-                for i, visited in enumerate(part["cells"].to_pylist()):
-                    at = np.isin(cell, np.frombuffer(visited, "<i8"), assume_unique=True)
-                    if not at.any():
-                        continue
-                    rows = order[_spans(first[at], last[at])]
-                    near = c[rows] @ q[i]
+                visit = np.stack([np.isin(cell, np.frombuffer(v, "<i8"), assume_unique=True) for v in part["cells"].to_pylist()])
+                some = np.flatnonzero(visit.any(axis=0))
+                if not len(some):
+                    continue
+                # One product of the queries with the cells that any of them visits;
+                # what a query does not visit is out of its reach.
+                rows = order[_spans(first[some], last[some])]
+                which = np.repeat(some, (last - first)[some])
+                block = c[rows]
+                near = q @ block.T
+                near[~visit[:, which]] = -np.inf
+                for i in range(len(own)):
                     # One entry may be the query itself, so one more is needed.
-                    if len(rows) > s.k + 1:
-                        least = np.partition(near, len(near) - s.k - 1)[len(near) - s.k - 1]
-                        rows = rows[near >= least - 1e-9 * max(1.0, abs(least))]
-                    exact = (c[rows] * q[i]).sum(axis=1)
-                    best = sorted(((-float(e), v) for e, r in zip(exact, rows, strict=True) for v in ids[r] if v != own[i]))[: s.k]
+                    least = np.partition(near[i], -min(s.k + 1, len(rows)))[-min(s.k + 1, len(rows))]
+                    at = np.flatnonzero((near[i] >= least - 1e-9 * max(1.0, abs(least))) & (near[i] > -np.inf))
+                    exact = (block[at] * q[i]).sum(axis=1)
+                    best = sorted(((-float(e), v) for e, r in zip(exact, rows[at], strict=True) for v in ids[r] if v != own[i]))[: s.k]
                     found[0].extend([own[i]] * len(best))
                     found[1].extend(v for _, v in best)
                     found[2].extend(-e for e, _ in best)
