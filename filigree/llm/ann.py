@@ -44,7 +44,7 @@ class Settings:
     #: Most of a step that a projection is shifted by.
     shift: float = 0.1
     #: Chance in each table that a visited cell holds a neighbour, as estimated.
-    target: float = 0.48
+    target: float = 0.56
     #: Most cells that a query visits in a table; beyond, all cells are visited.
     probes: int = 4096
     #: Distance of wanted neighbours, in parts of the largest norm; None: estimated
