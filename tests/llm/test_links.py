@@ -134,7 +134,7 @@ def nearest(rows, every, k):
 def test_few_rows_are_searched_exactly(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(0, 1 + i % 3, 6).astype("f4").tolist()) for i in range(60)]
-    rows += [(100 + i, rows[7][1]) for i in range(30)] + [(200, None), (201, [0.0] * 6), (202, [1.0, None, 0, 0, 0, 0]), (203, [float("nan")] * 6), (None, rows[0][1]), (60, rows[1][1])]
+    rows += [(100 + i, rows[7][1]) for i in range(30)] + [(200, None), (201, [0.0] * 6), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [float("nan")] * 6), (None, rows[0][1]), (60, rows[1][1])]
     docs = spark.createDataFrame([(a, b, "x") for a, b in rows], "vec_id long, embedding array<float>, score string")
     found = {}
     for r in ann.nearest(docs, query_every=10, settings=ann.Settings(k=8)).orderBy("query_id", "rank").collect():
