@@ -15,10 +15,18 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def _let(c: Column, f) -> Column:
+    """f of a value that is computed once, also where f uses it in a lambda."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def normalize(v: Column) -> Column:
     """Unit vector in double precision; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / n))
+
+    def by(u: Column, n: Column) -> Column:
+        return F.when(n == 0, u).otherwise(F.transform(u, lambda x: x / n))
+
+    return _let(v.cast("array<double>"), lambda u: _let(norm(u), lambda n: by(u, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
