@@ -3,7 +3,7 @@
 A word is the bag of itself and its character n-grams, hashed into rows of an
 embedding table; a document is the mean of its words, each the mean of its
 subwords; a softmax over two classes sits on top.  Embeddings and softmax are
-trained jointly with numpy on the driver, on a bounded sample of labelled rows.
+trained jointly with numpy in one task, on a bounded sample of labelled rows.
 A misspelling that was never seen shares most of its n-gram rows with the word.
 
 After training, a word's contribution to the difference of both logits is one
@@ -194,19 +194,38 @@ def fit(
             room -= n
             take.append(doc)
     label = {r[0]: int(r[1]) for r in found}
-    keep = known.sparkSession.createDataFrame([(d,) for d in take], "doc_id long")
-    rows = (
-        pick(docs, doc_id=id_col, text=text_col).where(F.col("text").isNotNull()).join(F.broadcast(keep), "doc_id")
-        .groupBy("doc_id").agg(F.max("text").alias("text")).collect()
-    )
-    rows.sort(key=lambda r: order[r[0]])
-    y = [label[r[0]] for r in rows]
+    y = [label[d] for d in take]
     if len(set(y)) < 2:
         import numpy as np
 
         share = (sum(y) + 1) / (len(y) + 2)
         return Model(np.zeros(s.buckets, np.float32), math.log(share / (1 - share)), s)
-    return train([r[1] for r in rows], y, s)
+    keep = known.sparkSession.createDataFrame([(d, label[d], order[d]) for d in take], "doc_id long, label int, at int")
+    rows = (
+        pick(docs, doc_id=id_col, text=text_col).where(F.col("text").isNotNull()).join(F.broadcast(keep), "doc_id")
+        .groupBy("doc_id").agg(F.max("text").alias("text"), F.first("label").alias("label"), F.first("at").alias("at"))
+        .repartition(1).sortWithinPartitions("at").select("text", "label")
+    )
+    return _trained(rows, s)
+
+
+def _trained(rows: DataFrame, s: Settings) -> Model:
+    """Train on an executor, in one task over the bounded sample; the driver gets the weights."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        if texts:
+            model = train(texts, labels, s)
+            yield pa.record_batch([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
+
+    made = rows.mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(made["weights"], np.float32), made["bias"], s)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = ()) -> DataFrame:
