@@ -26,6 +26,36 @@ def fake_embedder(dim: int) -> Embedder:
     return embed
 
 
+def http_embedder(url: str, model: str, *, timeout: float = 120.0, tries: int = 3) -> Embedder:
+    """Unit vectors from a service that takes {"model", "input"} and gives {"embeddings"}.
+
+    A failed call is repeated after a pause; the last failure is raised.
+    """
+
+    def embed(texts: list[str]):
+        import json
+        import time
+        import urllib.request
+
+        import numpy as np
+
+        body = json.dumps({"model": model, "input": texts}).encode()
+        for n in range(tries):
+            try:
+                request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+                with urllib.request.urlopen(request, timeout=timeout) as answer:
+                    found = np.asarray(json.load(answer)["embeddings"], np.float32)
+                break
+            except OSError:
+                if n + 1 == tries:
+                    raise
+                time.sleep(2.0**n)
+        size = np.linalg.norm(found, axis=1, keepdims=True)
+        return found / np.where(size == 0, 1, size)
+
+    return embed
+
+
 def embed_column(df: DataFrame, text_col: str, embedder: Embedder, *, batch: int = 16, out: str = "vector") -> DataFrame:
     """``df`` with a vector for each text; null for a null text.
 

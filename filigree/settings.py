@@ -29,6 +29,8 @@ class Settings:
     polysemy_q_floor: float = 0.40
     level_factor_alpha: float = 0.5
     fake_embed: bool = False
+    embed_url: str = "http://localhost:11434/api/embed"
+    embed_model: str = "nomic-embed-text"
     q_seeds: Mapping[str, float] = field(default_factory=lambda: dict(Q_SEEDS))
     #: Rows up to which a similarity join compares all blocks; beyond, it hashes.
     exact_rows: int = 20_000
@@ -38,7 +40,7 @@ class Settings:
     def with_env(self, env: Mapping[str, str] | None = None) -> Settings:
         """Values of equally named upper-case variables, and ``Q_SEED_<KIND>``."""
         env = os.environ if env is None else env
-        kinds = {bool: lambda x: x.strip().lower() in TRUE_WORDS, int: int, float: float}
+        kinds = {bool: lambda x: x.strip().lower() in TRUE_WORDS, int: int, float: float, str: str}
         found = {}
         for f in fields(self):
             now = getattr(self, f.name)
