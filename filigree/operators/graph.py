@@ -7,7 +7,6 @@ table of their own (child_id, parent_id), so that nothing is updated in place.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from filigree.functions import vectors as V
@@ -88,23 +87,32 @@ def resolve_targets(relations: DataFrame, words: DataFrame) -> DataFrame:
     return found.withColumn("j", F.coalesce("same_id", "first_id")).drop("same_id", "first_id").where("j IS NOT NULL AND j <> i")
 
 
-def triads(children: DataFrame, bridges: DataFrame, threshold: float, level: int, alpha: float = 0.5) -> DataFrame:
+def triads(children: DataFrame, bridges: DataFrame, threshold: float, level: int, alpha: float = 0.5, *, first: int = 50) -> DataFrame:
     """Triads of one level: matched children, each pair with a bridge of its own.
 
     children, bridges: id, vector, weight; none has a parent.  Pairs are matched by
     cosine, then served by falling cosine with the bridge nearest to their
-    centroid.  Returns cm1_id, cm2_id, bridge_id, level, strength, weight, vector.
+    centroid.  A pair starts with its ``first`` nearest bridges and gets more when all
+    of them went to pairs before it.  Returns cm1_id, cm2_id, bridge_id, level, strength, weight, vector.
     """
     pairs = settle(matching.greedy_match(similarity.pairs_above(children.select("id", "vector"), threshold), threshold))
-    ranked = pairs.select("i", "j", F.row_number().over(W.orderBy(F.desc("q"), "i", "j")).alias("rank"))
     kids = children.select("id", "vector", "weight")
     a = kids.toDF("i", "v1", "w1")
     b = kids.toDF("j", "v2", "w2")
-    ranked = settle(ranked.join(a, "i").join(b, "j").withColumn("middle", V.centroid(F.col("v1"), F.col("v2"))))
-    offers = _bridge_offers(ranked, bridges)
-    given = matching.exclusive_assignment(offers)
+    both = settle(pairs.join(a, "i").join(b, "j").withColumn("middle", V.centroid(F.col("v1"), F.col("v2"))))
+    # A child is in one pair, so its id names the pair.
+    middles = both.select(F.col("i").alias("pair"), F.struct((-F.col("q")).alias("far"), "i").alias("rank"), F.col("middle").alias("vector"))
+
+    def offer(asking: DataFrame, k: int) -> DataFrame:
+        """The nearest k bridges of each of these pairs."""
+        asked = middles.join(asking.select("pair"), "pair", "left_semi")
+        found = similarity.search(asked.select(F.col("pair").alias("id"), "vector"), bridges.select("id", "vector"), k)
+        found = found.select(F.col("query_id").alias("pair"), F.col("id").alias("bridge"), "cos")
+        return found.join(asked.select("pair", "rank"), "pair")
+
+    given = matching.exclusive_assignment(offer(middles, first), offer, first=first)
     c = bridges.select(F.col("id").alias("bridge"), F.col("vector").alias("v3"), F.col("weight").alias("w3"))
-    rows = ranked.join(given.select(F.col("pair").alias("rank"), "bridge"), "rank").join(c, "bridge")
+    rows = both.join(given.select(F.col("pair").alias("i"), "bridge"), "i").join(c, "bridge")
     strength = V.triad_strength(F.col("w1"), F.col("w2"), F.col("w3"))
     return rows.select(
         F.col("i").alias("cm1_id"), F.col("j").alias("cm2_id"), F.col("bridge").alias("bridge_id"), F.lit(level).alias("level"),
@@ -113,20 +121,6 @@ def triads(children: DataFrame, bridges: DataFrame, threshold: float, level: int
     )
 
 
-def _bridge_offers(ranked: DataFrame, bridges: DataFrame) -> DataFrame:
-    """Enough of each pair's nearest bridges that no pair can run out of them wrongly.
-
-    The pair of rank r loses at most r - 1 bridges to pairs before it, so its nearest
-    r bridges always hold the one it gets.
-    """
-    most = ranked.agg(F.max("rank")).first()[0] or 0
-    found = similarity.search(ranked.select(F.col("rank").cast("long").alias("id"), F.col("middle").alias("vector")), bridges.select("id", "vector"), max(1, most))
-    return (
-        found.where(F.col("rank") <= F.col("query_id"))
-        .select(F.col("query_id").alias("pair"), F.col("query_id").alias("rank"), F.col("id").alias("bridge"), "cos")
-    )
-
-
 def leaves(links: DataFrame, seeds: DataFrame, max_depth: int = 15) -> DataFrame:
     """Nodes below each seed: seed, id, depth (fetch rounds, the seed's is 1).
 

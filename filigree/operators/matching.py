@@ -9,6 +9,8 @@ propose to their best bridge that has not refused them, bridges keep the first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,20 +127,39 @@ def tiered_match(relations: DataFrame, seeds: dict[str, float]) -> DataFrame:
     )
 
 
-def exclusive_assignment(candidates: DataFrame) -> DataFrame:
+def exclusive_assignment(candidates: DataFrame, more: Callable[[DataFrame, int], DataFrame] | None = None, *, first: int = 0) -> DataFrame:
     """One bridge for each pair, no bridge twice, pairs served by rank.
 
-    candidates: pair, rank (one number per pair, strict), bridge, cos.  Each pair
+    candidates: pair, rank (one value per pair, strict, of any ordered type), bridge, cos.  Each pair
     gets its nearest bridge that no pair before it took; ties go to the smaller
     bridge id.  Pairs for which none is left get none.  Returns pair, bridge, cos.
+
+    With ``more``, candidates are the nearest ``first`` bridges of each pair only:
+    ``more(pairs, k)`` gives the nearest k bridges of the (pair, rank) rows whose list
+    is used up; k grows until each pair holds a bridge or its list ends before k.
     """
-    offers = settle(candidates.select("pair", "rank", "bridge", "cos").distinct())
+    names = ("pair", "rank", "bridge", "cos")
+    offers = settle(candidates.select(*names).distinct())
+    lists = settle(offers.groupBy("pair", "rank").agg(F.count("*").alias("n")))
+    # Pairs whose list holds every bridge there is.
+    whole = lists.where(F.col("n") < first).select("pair")
+    k = first
     while True:
         best = offers.groupBy("pair", "rank").agg(F.min(F.struct((-F.col("cos")).alias("far"), "bridge")).alias("b"))
         asked = best.select("pair", "rank", F.col("b.bridge").alias("bridge"), (-F.col("b.far")).alias("cos"))
         held = settle(asked.groupBy("bridge").agg(F.min(F.struct("rank", "pair", "cos")).alias("h"), F.count("*").alias("n")))
         if held.where("n > 1").isEmpty():
-            return held.select(F.col("h.pair").alias("pair"), "bridge", F.col("h.cos").alias("cos"))
+            out = held.select(F.col("h.pair").alias("pair"), "bridge", F.col("h.cos").alias("cos"))
+            if more is None:
+                return out
+            waiting = settle(lists.select("pair", "rank").join(out, "pair", "left_anti").join(whole, "pair", "left_anti"))
+            if waiting.isEmpty():
+                return out
+            k *= 4
+            longer = settle(more(waiting, k).select(*names))
+            whole = settle(whole.unionByName(longer.groupBy("pair").count().where(F.col("count") < k).select("pair")))
+            # Waiting pairs had no offer left, so none is there twice.
+            offers = offers.unionByName(longer)
         # A bridge refuses everyone behind the one it holds, now and later.
         limit = held.select("bridge", F.col("h.rank").alias("top"))
         offers = settle(offers.join(limit, "bridge", "left").where("top IS NULL OR rank <= top").drop("top"))

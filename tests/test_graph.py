@@ -149,12 +149,13 @@ def test_search_and_nearest_equal_brute_force(spark):
     assert pairs == {(i, j) for i in range(50) for j in range(i + 1, 50) if x[i] @ x[j] >= 0.5}
 
 
-def test_triads_take_bridges_once(spark):
+@pytest.mark.parametrize("first", [1, 2, 50])
+def test_triads_take_bridges_once(spark, first):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(24, 4))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     frame = spark.createDataFrame([(i, v.tolist(), 0.5 + i / 100) for i, v in enumerate(x)], "id long, vector array<double>, weight double")
-    found = graph.triads(frame.where("id < 18"), frame.where("id >= 18"), 0.0, 13).collect()
+    found = graph.triads(frame.where("id < 18"), frame.where("id >= 18"), 0.0, 13, first=first).collect()
     pairs = sequential([(-float(x[i] @ x[j]), i, j) for i in range(18) for j in range(i + 1, 18) if x[i] @ x[j] >= 0])
     ranked = sorted(pairs, key=lambda p: -float(x[p[0]] @ x[p[1]]))
     used, want = set(), []
