@@ -140,5 +140,49 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m US
 """
 
 
+# Turns, the windows' cuts one by one, and what each window repeats.
+CHAT_SQL = r"""
+WITH RECURSIVE listed AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place,
+         4 + len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^ \t\n\x0B\f\r\p{L}\p{M}\p{N}]')) AS n,
+         31 + length(role) + length(text) + len(regexp_extract_all(role || text, '[\\<#"]')) AS chars
+  FROM listed
+), digests AS (
+  SELECT conv_id, c, count(*) AS n_turns, sum(chars) AS chars,
+         max(CASE WHEN place = 0 AND role = 'system' THEN 1 ELSE 0 END) AS own,
+         max(CASE WHEN place = 0 AND role = 'system' THEN n ELSE 0 END) AS lead_n,
+         max(CASE WHEN place = 0 AND role = 'system' THEN chars ELSE 0 END) AS lead_chars,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss
+  FROM placed GROUP BY conv_id, c
+), room AS (
+  SELECT c, own, greatest(512 - lead_n, 1) AS room, least(128, greatest(512 - lead_n, 1) - 1) AS spare FROM digests
+), turns AS (
+  SELECT p.c, p.place - r.own AS i, r.room, r.spare, p.n,
+         sum(p.n) OVER w - p.n AS upto, sum(p.chars) OVER w - p.chars AS chars_before
+  FROM placed p JOIN room r USING (c) WHERE p.place >= r.own WINDOW w AS (PARTITION BY p.c ORDER BY p.place)
+), backs AS (
+  SELECT t.c, t.i, any_value(t.room) AS room, any_value(t.upto + t.n) AS through,
+         min(h.upto) AS back_before, any_value(t.chars_before) - min(h.chars_before) AS history_chars
+  FROM turns t JOIN turns h ON h.c = t.c AND h.i <= t.i AND h.upto >= t.upto - t.spare GROUP BY t.c, t.i
+), cuts AS (
+  SELECT c, i, back_before AS base, FALSE AS cut, CAST(0 AS HUGEINT) AS history_chars FROM backs WHERE i = 0
+  UNION ALL
+  SELECT b.c, b.i, CASE WHEN b.through - u.base > b.room THEN b.back_before ELSE u.base END, b.through - u.base > b.room,
+         CASE WHEN b.through - u.base > b.room THEN b.history_chars ELSE 0 END
+  FROM cuts u JOIN backs b ON b.c = u.c AND b.i = u.i + 1
+), repeated AS (
+  SELECT c, count(*) FILTER (cut) AS more, sum(history_chars) AS chars FROM cuts GROUP BY c
+)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(d.chars + coalesce(r.more * d.lead_chars + r.chars, 0) AS BIGINT) AS formatted_chars
+FROM digests d LEFT JOIN repeated r USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": URL_SQL, "op3_ngram_jaccard": JACCARD_SQL}
+    return {"op2_url_filters": URL_SQL, "op3_ngram_jaccard": JACCARD_SQL, "op9_chat_windows": CHAT_SQL}
