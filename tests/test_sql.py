@@ -1,0 +1,42 @@
+"""Registered queries of the graph engine against their SQL."""
+
+import math
+
+import duckdb
+import pytest
+
+from filigree import queries
+
+
+@pytest.fixture(scope="module")
+def sql(small):
+    import os
+
+    connection = duckdb.connect()
+    for f in sorted(os.listdir(small)):
+        if f.endswith(".parquet"):
+            connection.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{small}/{f}')")
+    return connection
+
+
+def close(a, b):
+    if isinstance(a, float) and isinstance(b, float):
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-6)
+    if isinstance(a, (list, tuple)):
+        return len(a) == len(b) and all(close(x, y) for x, y in zip(a, b, strict=True))
+    return a == b
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, small, sql, name):
+    want = sql.execute(queries.SQL[name])
+    columns = [c[0] for c in want.description]
+    made = queries.QUERIES[name](spark, small)
+    assert sorted(made.columns) == sorted(columns)
+
+    def order(r):
+        return repr([round(x, 4) if isinstance(x, float) else x for x in r])
+
+    got = sorted((tuple(r) for r in made.select(*columns).collect()), key=order)
+    rows = sorted(want.fetchall(), key=order)
+    assert len(got) == len(rows) and all(close(a, b) for a, b in zip(got, rows, strict=True))
