@@ -13,6 +13,7 @@ TOOLS = ("find_word", "word_senses", "word_edges", "edge_info", "semantic_search
 USAGE = f"""usage: python -m filigree COMMAND --root FOLDER [options]
 
 stages: build (all that are not done), {", ".join(STAGES)}
+checks: preflight
 tools:  {", ".join(TOOLS)}
 """
 
@@ -70,7 +71,7 @@ def main(argv: list[str] | None = None) -> int:
         print(USAGE)
         return 0 if argv else 1
     command, rest = argv[0], argv[1:]
-    if command not in (*STAGES, *TOOLS, "build"):
+    if command not in (*STAGES, *TOOLS, "build", "preflight"):
         print(f"unknown command {command!r}\n{USAGE}", file=sys.stderr)
         return 2
     o = _options(command, rest)
@@ -94,6 +95,13 @@ def main(argv: list[str] | None = None) -> int:
                     print(row["json"])
             return 0
         manifest = Manifest(o.state or f"{o.root}/_state")
+        if command == "preflight":
+            from filigree.plans.preflight import preflight
+
+            report = preflight(g, manifest)
+            for name, passed, detail in report:
+                print(f"{'ok' if passed else 'FAILED'}\t{name}\t{detail}")
+            return 0 if all(passed for _, passed, _ in report) else 1
         if command == "build":
             if o.reset:
                 manifest.reset(STAGES[0])

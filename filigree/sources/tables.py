@@ -52,3 +52,8 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     raw = spark.read.text(path).select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("line"))
     parsed = raw.select("line", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").alias("j"))
     return parsed.where("j IS NOT NULL AND r IS NOT NULL").select("line", "r.*")
+
+
+def lines_of_words(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
+    """``value``: lines of JSON records whose word is one of these, byte for byte."""
+    return spark.read.text(path).where(F.get_json_object("value", "$.word").isin(*words))

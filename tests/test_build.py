@@ -12,7 +12,9 @@ from filigree.__main__ import main
 from filigree.operators import embed
 from filigree.plans import build, tools
 from filigree.plans.manifest import Manifest, StageError
+from filigree.plans.preflight import preflight
 from filigree.settings import Settings
+from filigree.sources.tables import lines_of_words
 
 FAKE = Settings(fake_embed=True, embed_dim=16, q_min_l15=0.0, meta_bary_cos_threshold=-1.0)
 
@@ -188,3 +190,21 @@ def test_command_line(made, capsys, monkeypatch):
     assert main(["find_word", "cold", "--root", g.root]) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["word"] == "cold"
     assert main(["nodes", "--root", f"{g.root}-none"]) == 1
+
+
+def test_preflight_reports_every_check(made, spark, tmp_path):
+    g, manifest, _ = made
+    report = preflight(g, manifest)
+    assert [name for name, _, _ in report] == ["session", "checkpoints", "folder", "records", "vectors", "state"]
+    assert all(passed for _, passed, _ in report) and report[-1][2].startswith("parse, embed")
+    bad = build.Graph(spark, str(tmp_path / "t"), Settings(embed_url="http://127.0.0.1:9/", embed_dim=4), embedder=lambda t: [[1.0]] * len(t), source=str(tmp_path / "none"))
+    found = {name: passed for name, passed, _ in preflight(bad, Manifest(tmp_path / "s"))}
+    assert found == {"session": True, "checkpoints": True, "folder": True, "records": False, "vectors": False, "state": True}
+
+
+def test_lines_of_words_are_kept_as_they_are(made, spark):
+    g, _, _ = made
+    with open(g.source) as f:
+        want = [line.rstrip("\n") for line in f if '"word": "hot", "pos"' in line or '"word": "icy", "pos"' in line]
+    assert [r[0] for r in lines_of_words(spark, g.source, ["hot", "icy"]).collect()] == want
+    assert len(want) == 2
