@@ -1,22 +1,27 @@
 """Nearest neighbours by inner product, with multiprobe p-stable hashing.
 
-A vector's hash in one of several tables is the cell it falls in: each of a few
-Gaussian projections, shifted and cut into steps of a width.  A query visits
-its own cell and perturbed ones, in the order of the estimated chance that a
-wanted neighbour fell there, until the estimates add up to a target.  A
-neighbour at distance d, both of norm 1, has the cosine c = 1 - d^2 / 2; given the
-query's projection p, its own is normal around c p with variance 1 - c^2, which
-gives the chance of each step, and the chance of a cell is their product.  The best cells are found projection by projection:
+A vector's hash in one of several tables is the cell its direction falls in: each
+of a few Gaussian projections, shifted and cut into steps of a width.  A query
+visits its own cell and perturbed ones, in the order of the estimated chance that a
+wanted neighbour fell there, until the estimates add up to a target.  Given the
+query's projection p, that of a neighbour with cosine c is normal around c p with
+variance 1 - c^2, which gives the chance of each step, and the chance of a cell is
+their product.  The best cells are found projection by projection:
 a prefix that is not among the best cannot begin one of the best.
 
+Vectors are searched in bands of norms, each with tables of its own.  Every query
+estimates the product s that its k-th neighbour reaches from a sample of all
+vectors; to reach it, a vector of a band with the largest norm M needs at least the
+cosine s / M.  So neither other queries nor single long vectors change what a query
+visits.
+
 Vectors are dealt out by table and coarse cell, in pieces of bounded size, so
 that a full cell is split among tasks.  Each piece ranks the vectors of the cells
 that each query visits by the exact product in double precision; the pieces'
 best are merged.
 
-Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2), with
-M the largest norm, which a query has as 0.  Equal vectors are one entry that
-keeps as many of its smallest ids as a result can hold, which loses no result.
+Equal vectors are one entry that keeps as many of its smallest ids as a result can
+hold, which loses no result.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ class Settings:
     projections: int = 12
     #: The first projections name the coarse cell by which vectors are dealt out.
     coarse: int = 2
-    #: Step of a projection, in parts of the largest norm; steps beyond +-reach are one.
+    #: Step of a projection of a vector of norm 1; steps beyond +-reach are one.
     width: float = 1.0
     reach: int = 1
     #: Most of a step that a projection is shifted by.
@@ -48,7 +53,7 @@ class Settings:
     #: Most cells that a query visits in a table; beyond, all cells are visited.
     probes: int = 4096
     #: Distance of wanted neighbours, in parts of the largest norm; None: estimated
-    #: from a sample of at most sample_rows vectors.
+    #: for each query from a sample of at most sample_rows vectors.
     distance: float | None = None
     sample_rows: int = 4096
     #: Vectors of a piece.
@@ -65,33 +70,51 @@ def _phi(x):
     return 0.5 * (1 + np.sign(x) * y)
 
 
+#: Norms of a band differ by the root of 2 at most; the last of so many has all shorter vectors.
+BANDS = 24
+
+
 class Hasher:
     """Projections of all tables; cells as numbers in base ``steps``."""
 
-    def __init__(self, dim: int, top: float, distance: float, s: Settings):
+    def __init__(self, dim: int, top: float, bands: dict[int, float], sample, rank: int, s: Settings):
         import numpy as np
 
         rng = np.random.default_rng(s.seed)
-        self.s, self.top, self.distance = s, top, distance
+        self.s, self.top = s, top
+        #: Bands that hold vectors, and the largest norm of each.
+        self.bands = bands
+        #: Vectors by which a query estimates the product of its k-th neighbour, the
+        #: one of this rank (from 0) among them.
+        self.sample, self.rank = sample, rank
         self.steps = 2 * s.reach
         m = s.tables * s.projections
-        self.a = rng.normal(0, 1, (dim + 1, m))
+        self.a = rng.normal(0, 1, (dim, m))
         self.b = rng.uniform(-0.5, 0.5, m) * s.width * s.shift
 
     def project(self, x):
-        """Rows of x, divided by the largest norm and completed, on all projections."""
-        import numpy as np
+        """Directions of the rows of x on all projections."""
+        return (_directions(x) @ self.a + self.b) / self.s.width
 
-        x = x / self.top
-        more = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", x, x)))
-        return (x @ self.a[:-1] + more[:, None] * self.a[-1] + self.b) / self.s.width
-
-    def project_query(self, x):
-        """Only a query's direction matters: it is scaled to the largest norm."""
+    def products(self, x):
+        """Product that the k-th neighbour of each row's direction reaches, as estimated."""
         import numpy as np
 
-        x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-        return (x @ self.a[:-1] + self.b) / self.s.width
+        if self.s.distance is not None:
+            return np.full(len(x), (1 - self.s.distance**2 / 2) * self.top)
+        out = np.full(len(x), -np.inf)
+        if self.rank + 1 >= len(self.sample):
+            return out
+        place = {v.tobytes(): i for i, v in enumerate(self.sample + 0.0)}
+        for a in range(0, len(x), 256):
+            part = x[a : a + 256]
+            near = _directions(part) @ self.sample.T
+            for i, v in enumerate(part + 0.0):
+                # The query itself may be in the sample.
+                if (own := place.get(v.tobytes())) is not None:
+                    near[i, own] = -np.inf
+            out[a : a + 256] = -np.partition(-near, self.rank, axis=1)[:, self.rank]
+        return out
 
     def cells(self, projected):
         """(coarse, fine) cell numbers in each table: arrays of rows x tables."""
@@ -104,15 +127,14 @@ class Hasher:
             number = number * self.steps + step[:, :, j]
         return number // self.steps ** (s.projections - s.coarse), number
 
-    def visits(self, projected):
+    def visits(self, projected, near: float):
         """Cells that one query visits in each table, best first: list of arrays.
 
-        projected: the query's projections in one row.
+        projected: the query's projections in one row; near: cosine of wanted neighbours.
         """
         import numpy as np
 
         s = self.s
-        near = 1 - self.distance**2 / 2
         shift = self.b / s.width
         middle = near * (projected - shift) + shift
         edges = np.arange(-s.reach + 1, s.reach)
@@ -134,6 +156,23 @@ class Hasher:
             out.append(number[order[:enough]])
         return out
 
+    def asked(self, projected, product: float):
+        """(table, cells) that one query visits; each band has tables of its own.
+
+        Where the cells of all tables are as many as one table has, or where vectors of
+        any direction may be wanted, that one table is visited as a whole.
+        """
+        import numpy as np
+
+        s, every = self.s, self.steps**self.s.projections
+        for band, norm in self.bands.items():
+            near = min(product / max(norm, 1e-300), 1 - 1e-6)
+            cells = self.visits(projected, near) if near > 0 else []
+            if not cells or sum(map(len, cells)) >= every:
+                cells = [np.arange(every)]
+            for t, visited in enumerate(cells):
+                yield band * s.tables + t, visited
+
 
 def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, vec (array of double) of vectors that take part."""
@@ -178,8 +217,13 @@ def nearest(
     # Few rows: one table of so few cells that a query visits them all.
     if total <= 40 * s.k:
         s = replace(s, tables=1, projections=s.coarse, target=2.0)
-    distance = s.distance if s.distance is not None else _distance(entries, total, top, s)
-    hasher = Hasher(dim, top, distance, s)
+    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    band = F.floor((F.log2(F.lit(top)) - F.log2(size)) * 2)
+    band = F.least(F.greatest(F.coalesce(band, F.lit(BANDS - 1)), F.lit(0)), F.lit(BANDS - 1)).cast("int")
+    # At most BANDS rows.
+    kinds = entries.select(band.alias("band"), size.alias("size")).groupBy("band").agg(F.max("size").alias("top"), F.count("*").alias("n")).collect()
+    sample, rank_of_k = _sample(entries, sum(r["n"] for r in kinds), dim, s)
+    hasher = Hasher(dim, top, {r["band"]: r["top"] for r in kinds}, sample, rank_of_k, s)
     shape = spark.sparkContext.broadcast(hasher)
 
     def deal(batches):
@@ -189,6 +233,7 @@ def nearest(
         h = shape.value
         for batch in batches:
             x = _matrix(batch.column(0), dim)
+            first = batch.column(2).to_numpy() * h.s.tables
             coarse, fine = h.cells(h.project(x))
             n = len(x)
             raw = x.astype("<f8").tobytes()
@@ -196,7 +241,7 @@ def nearest(
             ids = batch.column(1)
             for t in range(h.s.tables):
                 yield pa.record_batch([
-                    pa.array(np.full(n, t, np.int32)), pa.array(coarse[:, t]), pa.array(fine[:, t]), pa.array(vec, pa.binary()), ids
+                    pa.array((first + t).astype(np.int32)), pa.array(coarse[:, t]), pa.array(fine[:, t]), pa.array(vec, pa.binary()), ids
                 ], names=["tab", "coarse", "fine", "vec", "ids"])
 
     def ask(batches):
@@ -207,11 +252,11 @@ def nearest(
         unit = h.steps ** (h.s.projections - h.s.coarse)
         for batch in batches:
             ids, x = batch.column(0).to_pylist(), _matrix(batch.column(1), dim)
-            projected = h.project_query(x)
+            projected, product = h.project(x), h.products(x)
             out = []
             for i, doc in enumerate(ids):
                 vec = x[i].astype("<f8").tobytes()
-                for t, visited in enumerate(h.visits(projected[i])):
+                for t, visited in h.asked(projected[i], float(product[i])):
                     visited = np.sort(visited)
                     group = visited // unit
                     cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -219,8 +264,8 @@ def nearest(
                         out.append((t, int(group[a]), doc, vec, visited[a:b].astype("<i8").tobytes()))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["tab", "coarse", "query_id", "vec", "cells"])
 
-    dealt = settle(entries.mapInArrow(deal, "tab int, coarse long, fine long, vec binary, ids array<long>"))
-    # At most tables * steps**coarse rows, whatever the data.
+    dealt = settle(entries.select("vec", "ids", band.alias("band")).mapInArrow(deal, "tab int, coarse long, fine long, vec binary, ids array<long>"))
+    # At most BANDS * tables * steps**coarse rows, whatever the data.
     pieces = dealt.groupBy("tab", "coarse").agg(F.ceil(F.count("*") / s.piece).cast("int").alias("pieces")).collect()
     pieces = spark.createDataFrame([tuple(r) for r in pieces], "tab int, coarse long, pieces int")
     dealt = dealt.join(F.broadcast(pieces), ["tab", "coarse"]).withColumn("piece", F.pmod(F.xxhash64("vec"), F.col("pieces")).cast("int")).drop("pieces")
@@ -293,21 +338,25 @@ def _matrix(column, dim: int):
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
-def _distance(entries: DataFrame, total: int, top: float, s: Settings) -> float:
-    """Distance of the k-th neighbour among all rows, from a bounded sample.
+def _directions(x):
+    import numpy as np
+
+    # Scaled first, so that squares neither vanish nor overflow.
+    x = x / np.abs(x).max(axis=1, initial=0)[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _sample(entries: DataFrame, total: int, dim: int, s: Settings):
+    """A bounded sample of the entries, and the rank in it that stands for rank k.
 
-    In a sample of n rows the neighbour of rank k n / N stands for rank k of N.
-    The distance is the mean over the sampled queries of that neighbour's.
+    In a sample of n of N entries the neighbour of rank k n / N stands for rank k of N.
+    How many of the nearest k are drawn varies by the root of that, so the rank is
+    taken as much farther: a query with a few near copies must not take one of them
+    for its k-th neighbour.
     """
     import numpy as np
 
     found = entries.orderBy(F.xxhash64("vec")).limit(s.sample_rows).select("vec").collect()
-    x = np.array([r[0] for r in found]) / top
-    if len(x) < 3:
-        return 1.0
-    q = x[:: max(1, len(x) // 128)]
-    q = q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
-    near = np.sort(q @ x.T, axis=1)[:, ::-1][:, 1:]
-    rank = min(near.shape[1] - 1, round(s.k * len(x) / max(total, len(x))))
-    square = np.maximum(1e-4, 2 - 2 * near[:, rank])
-    return float(np.sqrt(square.mean()))
+    x = np.array([r[0] for r in found], np.float64).reshape(-1, dim)
+    mean = s.k * len(x) / max(1, total)
+    return x, math.ceil(mean + math.sqrt(mean))

@@ -164,3 +164,32 @@ def test_vectors_that_take_no_part(spark):
     assert ann.nearest(none).count() == 0
     alone = spark.createDataFrame([(20, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert ann.nearest(alone).count() == 0
+
+
+def recall_by_part(spark, x, parts):
+    """Share of the true 20 nearest that is found, for each part of the queries."""
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(docs).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    hits = {q: len(found.get(q, set()) & set(np.argsort(-score[q])[:20].tolist())) / 20 for q in range(0, len(x), 20)}
+    return {p: float(np.mean([h for q, h in hits.items() if parts[q] == p])) for p in set(parts)}
+
+
+@pytest.mark.parametrize("case", ["dense third", "one long vector", "uneven norms", "dense third of uneven norms"])
+def test_recall_holds_in_each_part(spark, case):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (8000, 64))
+    dense = rng.random(len(x)) < 1 / 3 if "dense" in case else np.zeros(len(x), bool)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[dense] = x[0] + rng.normal(0, 0.02, (int(dense.sum()), 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if case == "one long vector":
+        x[1] *= 30
+    elif "uneven" in case:
+        x *= np.exp(rng.normal(0, 0.5, len(x)))[:, None]
+    got = recall_by_part(spark, x, ["dense" if d else "rest" for d in dense])
+    assert min(got.values()) >= 0.92, got
