@@ -12,6 +12,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from filigree.functions import text as X
@@ -118,12 +119,22 @@ def _neighbourhoods(g: Graph) -> DataFrame:
     return g.read("word_nodes").select("word", "pos", of("antonyms").alias("ants"), of("synonyms").alias("syns"))
 
 
+def _equal_pairs(senses: DataFrame, threshold: float) -> DataFrame:
+    """Matched pairs i, j, q of senses with equal vectors, by id two by two.
+
+    Best-first matching takes these before any other pair and in this order, so a
+    vector that many senses have needs no pair of each two of them.
+    """
+    turns = W.partitionBy("vector").orderBy("id")
+    cos = V.dot(F.col("vector"), F.col("vector"))
+    turn = senses.where("vector IS NOT NULL").select(F.col("id").alias("i"), F.lead("id").over(turns).alias("j"), F.row_number().over(turns).alias("turn"), cos.alias("q"))
+    return turn.where((F.col("turn") % 2 == 1) & F.col("j").isNotNull() & (F.col("q") >= threshold) & (F.col("q") > 1 - 1e-9)).select("i", "j", "q")
+
+
 def _sense_pairs(g: Graph, senses: DataFrame) -> DataFrame:
-    """Candidate pairs i, j, cos, same: all near ones, or each sense's nearest in large graphs."""
+    """Candidate pairs i, j, cos, same: all near ones."""
     s = g.settings
-    vectors = senses.select("id", "vector")
-    large = senses.count() > s.exact_rows
-    pairs = similarity.knn_pairs(vectors, s.neighbours, s.q_min_l15) if large else similarity.pairs_above(vectors, s.q_min_l15)
+    pairs = similarity.pairs_above(senses.select("id", "vector"), s.q_min_l15)
     if s.polysemy_q_floor >= s.q_min_l15:
         # The floor lets senses of one word match at any cosine.
         a = senses.select(F.col("id").alias("i"), "word", "pos", F.col("vector").alias("v1"))
@@ -139,7 +150,10 @@ def sense_edges(g: Graph) -> Tables:
     """Edges of matched senses, then one from each lone sense to its nearest such edge."""
     s = g.settings
     senses = g.read("sense_nodes").select("id", "word", "pos", V.normalize(F.col("vector")).alias("vector"))
-    matched = settle(matching.greedy_match(_sense_pairs(g, senses), s.q_min_l15, same_word=F.col("same"), polysemy_floor=s.polysemy_q_floor))
+    equal = settle(_equal_pairs(senses, s.q_min_l15))
+    rest = senses.join(equal.select(F.explode(F.array("i", "j")).alias("id")), "id", "left_anti")
+    matched = matching.greedy_match(_sense_pairs(g, rest), s.q_min_l15, same_word=F.col("same"), polysemy_floor=s.polysemy_q_floor)
+    matched = settle(equal.unionByName(matched))
     around = _neighbourhoods(g)
     known = senses.join(around, ["word", "pos"], "left")
     none = F.array().cast("array<string>")

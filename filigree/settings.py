@@ -32,9 +32,6 @@ class Settings:
     embed_url: str = "http://localhost:11434/api/embed"
     embed_model: str = "nomic-embed-text"
     q_seeds: Mapping[str, float] = field(default_factory=lambda: dict(Q_SEEDS))
-    #: Rows up to which a similarity join compares all blocks; beyond, it hashes.
-    exact_rows: int = 20_000
-    neighbours: int = 20
     max_depth: int = 15
 
     def with_env(self, env: Mapping[str, str] | None = None) -> Settings:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filigree.__main__ import main
-from filigree.operators import embed
+from filigree.operators import embed, matching, similarity
 from filigree.plans import build, tools
 from filigree.plans.manifest import Manifest, StageError
 from filigree.plans.preflight import preflight
@@ -208,3 +208,38 @@ def test_lines_of_words_are_kept_as_they_are(made, spark):
         want = [line.rstrip("\n") for line in f if '"word": "hot", "pos"' in line or '"word": "icy", "pos"' in line]
     assert [r[0] for r in lines_of_words(spark, g.source, ["hot", "icy"]).collect()] == want
     assert len(want) == 2
+
+
+def test_equal_senses_of_a_large_graph_match_each_other(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (20_100, 16))
+    x[:1001] = x[0]
+    near = range(2000, 2400, 2)
+    x[2001:2401:2] = x[2000:2400:2] + rng.normal(0, 1e-4, (200, 16))
+    senses = spark.createDataFrame([(i, f"w{i}", "noun", v) for i, v in enumerate(x.tolist())], "id long, word string, pos string, vector array<double>")
+    senses.write.parquet(f"{tmp_path}/sense_nodes")
+    none = spark.createDataFrame([], "word string, pos string, relations array<struct<kind:string,word:string>>")
+    none.write.parquet(f"{tmp_path}/word_nodes")
+    g = build.Graph(spark, str(tmp_path), Settings(fake_embed=True, embed_dim=16, q_min_l15=0.999))
+    made = build.sense_edges(g)
+    main = made["sense_edges"].where("confidence = 1.0 AND q > 0.999999").select("cm1_id", "cm2_id")
+    assert sorted(rows(main)) == [(i, i + 1) for i in range(0, 1000, 2)] + [(i, i + 1) for i in near]
+    up = made["sense_parents"]
+    assert up.count() == up.select("child_id").distinct().count() == 20_100
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_equal_senses_match_as_greedy_matching(spark, tmp_path, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(0, 1, (40, 4))
+    x = np.concatenate([x] + [x[: 40 // (c + 1)] for c in range(1, n)])
+    ids = rng.permutation(len(x)).tolist()
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    senses = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "id long, vector array<double>")
+    senses = senses.withColumns({"word": F.col("id").cast("string"), "pos": F.lit("noun")})
+    want = matching.greedy_match(similarity.pairs_above(senses.select("id", "vector"), 0.3), 0.3)
+    equal = build._equal_pairs(senses, 0.3)
+    rest = senses.join(equal.select(F.explode(F.array("i", "j")).alias("id")), "id", "left_anti")
+    g = build.Graph(spark, str(tmp_path), Settings(fake_embed=True, q_min_l15=0.3, polysemy_q_floor=0.0))
+    got = rows(equal.select("i", "j")) + rows(matching.greedy_match(build._sense_pairs(g, rest), 0.3).select("i", "j"))
+    assert sorted(got) == sorted(rows(want.select("i", "j")))
