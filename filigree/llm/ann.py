@@ -1,7 +1,10 @@
-"""Nearest neighbours by inner product, with multiprobe p-stable hashing.
+"""Nearest neighbours by inner product, with multiprobe hashing by signs of projections.
 
 A vector's hash in one of several tables is the cell its direction falls in: each
-of a few Gaussian projections, shifted and cut into steps of a width.  A query
+of a few Gaussian projections, cut into steps.  With a reach of 1, the default, there
+are two steps, which are the projection's sign but for a small shift: this is hashing
+by random hyperplanes, and perturbed cells have some signs flipped.  A larger reach
+makes p-stable cells of a width.  A query
 visits its own cell and perturbed ones, in the order of the estimated chance that a
 wanted neighbour fell there, until the estimates add up to a target.  Given the
 query's projection p, that of a neighbour with cosine c is normal around c p with
@@ -43,7 +46,8 @@ class Settings:
     projections: int = 12
     #: The first projections name the coarse cell by which vectors are dealt out.
     coarse: int = 2
-    #: Step of a projection of a vector of norm 1; steps beyond +-reach are one.
+    #: Step of a projection of a vector of norm 1; steps beyond +-reach are one.  With a
+    #: reach of 1 only the sign counts, and the width scales no more than the shift.
     width: float = 1.0
     reach: int = 1
     #: Most of a step that a projection is shifted by.
