@@ -27,13 +27,13 @@ def record(word, gloss, *, ant=(), syn=(), n=1):
 
 
 RECORDS = [
-    record("hot", "of high heat", ant=["cold"], syn=["warm", "boiling"], n=2),
-    record("cold", "of low heat", ant=["hot"], syn=["icy"]),
-    record("warm", "somewhat hot", ant=["cool"], syn=["hot"]),
-    record("cool", "somewhat cold", ant=["warm"], syn=["cold"]),
-    record("icy", "like ice", syn=["cold", "unknown"]),
-    record("boiling", "very hot", syn=["hot"], n=2),
-    record("mild", "neither"),
+    record("loud", "with much sound", ant=["quiet"], syn=["noisy", "deafening"], n=2),
+    record("quiet", "with little sound", ant=["loud"], syn=["silent"]),
+    record("noisy", "rather loud", ant=["hushed"], syn=["loud"]),
+    record("hushed", "rather quiet", ant=["noisy"], syn=["quiet"]),
+    record("silent", "without sound", syn=["quiet", "unknown"]),
+    record("deafening", "very loud", syn=["loud"], n=2),
+    record("plain", "neither"),
 ]
 
 
@@ -57,10 +57,10 @@ def test_all_stages(made):
     edges, nodes = g.read("edges"), g.read("nodes")
     label = {r["id"]: r["word"] for r in nodes.select("id", "word").collect()}
     kinds = [(label[a], label[b], k, q) for a, b, k, q in rows(g.read("word_edges").select("cm1_id", "cm2_id", "edge_type", "q").orderBy("cm1_id"))]
-    # Turns go by file order; mild, icy and boiling find no free partner.
-    assert kinds == [("hot", "cold", "contradicts", 0.85), ("warm", "cool", "contradicts", 0.85)]
+    # Turns go by file order; plain, silent and deafening find no free partner.
+    assert kinds == [("loud", "quiet", "contradicts", 0.85), ("noisy", "hushed", "contradicts", 0.85)]
     again = rows(g.read("reentry_edges").select("cm1_id", "edge_type", "q", "weight", "confidence"))
-    assert sorted(label[r[0]] for r in again) == ["boiling", "icy", "mild"]
+    assert sorted(label[r[0]] for r in again) == ["deafening", "plain", "silent"]
     assert {r[1:] for r in again} == {("contradicts", 0.85, 0.85, 0.85)}
     assert nodes.where("vector IS NULL OR parent_id IS NULL").isEmpty()
     parents = nodes.select("parent_id").union(edges.where("parent_id IS NOT NULL").select("parent_id"))
@@ -83,17 +83,17 @@ def test_triads_have_three_children(made):
 
 def test_tools(made):
     g, _, _ = made
-    found = tools.find_word(g, "hot").first()
+    found = tools.find_word(g, "loud").first()
     n = g.read("edges").where((F.col("cm1_id") == found["id"]) | (F.col("cm2_id") == found["id"])).count()
     assert (found["pos"], found["sense_count"], found["edge_count"], found["has_parent_edge"]) == ("adj", 2, n, True)
     assert tools.find_word(g, "none").isEmpty() and tools.word_edges(g, "none").isEmpty()
-    assert [(r["sense_idx"], r["gloss"], r["paired"]) for r in tools.word_senses(g, "hot").collect()] == [(0, "of high heat 0", True), (1, "of high heat 1", True)]
-    (edge,) = [r for r in tools.word_edges(g, "cold", "adj").collect() if r["cm1"] == "hot (adj)"]
-    assert (edge["cm2"], edge["edge_type"], edge["q"]) == ("cold (adj)", "contradicts", 0.85)
-    assert tools.word_edges(g, "cold", "noun").isEmpty()
+    assert [(r["sense_idx"], r["gloss"], r["paired"]) for r in tools.word_senses(g, "loud").collect()] == [(0, "with much sound 0", True), (1, "with much sound 1", True)]
+    (edge,) = [r for r in tools.word_edges(g, "quiet", "adj").collect() if r["cm1"] == "loud (adj)"]
+    assert (edge["cm2"], edge["edge_type"], edge["q"]) == ("quiet (adj)", "contradicts", 0.85)
+    assert tools.word_edges(g, "quiet", "noun").isEmpty()
     main_edge = g.read("word_edges").where(F.col("cm1_id") == found["id"]).first()
     info = tools.edge_info(g, main_edge["id"]).first()
-    assert info["cm_leaf_words"] == ["cold", "hot"] and info["level"] == 14
+    assert info["cm_leaf_words"] == ["loud", "quiet"] and info["level"] == 14
     assert tools.edge_info(g, 12345).isEmpty()
     text = json.loads(tools.as_json(tools.edge_info(g, main_edge["id"])).first()[0])
     assert text["edge_type"] == "contradicts" and "parent_id" in text
@@ -101,14 +101,14 @@ def test_tools(made):
 
 def test_search_ranks_as_brute_force(made):
     g, _, _ = made
-    asked = g.embedder(["like ice 0"])[0].astype(float)
+    asked = g.embedder(["without sound 0"])[0].astype(float)
     for kind, table in (("node", "nodes"), ("baryedge", "edges")):
-        hits = tools.semantic_search(g, "like ice 0", kind, 4).collect()
+        hits = tools.semantic_search(g, "without sound 0", kind, 4).collect()
         all_rows = g.read(table).select("id", "vector").collect()
         cos = {r["id"]: float(np.dot(r["vector"], asked) / np.linalg.norm(r["vector"]) / np.linalg.norm(asked)) for r in all_rows}
         assert [h["id"] for h in hits] == sorted(cos, key=lambda i: (-round(cos[i], 12), i))[:4]
         assert hits[0]["score"] == pytest.approx((1 + max(cos.values())) / 2, abs=1e-4)
-    only = tools.semantic_search(g, "heat", where=F.col("edge_type") == "contradicts").collect()
+    only = tools.semantic_search(g, "sound", where=F.col("edge_type") == "contradicts").collect()
     assert only and {h["edge_type"] for h in only} == {"contradicts"}
     with pytest.raises(ValueError, match="no documents"):
         tools.semantic_search(g, "x", "page")
@@ -120,8 +120,8 @@ def test_stats_holdout_and_recall(made):
     assert stats[("node", 15, "sense", None)] == 9 and stats[("node", 14, "word", None)] == 7
     assert stats[(None, None, None, None)] == g.read("nodes").count() + g.read("edges").count()
     pairs = tools.holdout(g, 1.0)
-    assert sorted((r["word_a"], r["word_b"]) for r in pairs.collect()) == [("boiling", "hot"), ("cold", "cool"), ("cold", "icy"), ("hot", "warm")]
-    assert dict((r["word_a"], r["gloss_a"]) for r in pairs.collect())["hot"] == "of high heat 0"
+    assert sorted((r["word_a"], r["word_b"]) for r in pairs.collect()) == [("deafening", "loud"), ("hushed", "quiet"), ("loud", "noisy"), ("quiet", "silent")]
+    assert dict((r["word_a"], r["gloss_a"]) for r in pairs.collect())["loud"] == "with much sound 0"
     assert tools.holdout(g, 0.01).count() == 1
     got = tools.recall(g, pairs, 50).first()
     assert (got["n_queries"], got["edge_recall"], got["flat_recall"], got["delta"]) == (4, 1.0, 1.0, 0.0)
@@ -151,7 +151,7 @@ def test_floor_above_the_threshold_pairs_senses_of_one_word(made, spark, tmp_pat
     main = build.sense_edges(strict)["sense_edges"].where("confidence = 1.0")
     labels = g.read("sense_nodes").select("id", "word")
     pairs = main.join(labels.toDF("cm1_id", "a"), "cm1_id").join(labels.toDF("cm2_id", "b"), "cm2_id")
-    assert sorted(rows(pairs.select("a", "b"))) == [("boiling", "boiling"), ("hot", "hot")]
+    assert sorted(rows(pairs.select("a", "b"))) == [("deafening", "deafening"), ("loud", "loud")]
 
 
 def test_embedding_service(spark):
@@ -187,8 +187,8 @@ def test_command_line(made, capsys, monkeypatch):
     capsys.readouterr()
     monkeypatch.setenv("FAKE_EMBED", "1")
     monkeypatch.setenv("EMBED_DIM", "16")
-    assert main(["find_word", "cold", "--root", g.root]) == 0
-    assert json.loads(capsys.readouterr().out.splitlines()[-1])["word"] == "cold"
+    assert main(["find_word", "quiet", "--root", g.root]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["word"] == "quiet"
     assert main(["nodes", "--root", f"{g.root}-none"]) == 1
 
 
@@ -205,8 +205,8 @@ def test_preflight_reports_every_check(made, spark, tmp_path):
 def test_lines_of_words_are_kept_as_they_are(made, spark):
     g, _, _ = made
     with open(g.source) as f:
-        want = [line.rstrip("\n") for line in f if '"word": "hot", "pos"' in line or '"word": "icy", "pos"' in line]
-    assert [r[0] for r in lines_of_words(spark, g.source, ["hot", "icy"]).collect()] == want
+        want = [line.rstrip("\n") for line in f if '"word": "loud", "pos"' in line or '"word": "silent", "pos"' in line]
+    assert [r[0] for r in lines_of_words(spark, g.source, ["loud", "silent"]).collect()] == want
     assert len(want) == 2
 
 

@@ -24,42 +24,46 @@ def vec(*xs):
 
 
 def test_vector_formulas(spark):
+    x, y, z = np.array([2.0, -1.0, 2.0]), np.array([0.0, 3.0, 1.0]), np.array([-1.0, 1.0, 4.0])
+    unit = lambda v: v / np.linalg.norm(v)
     r = one(
-        spark, n=V.normalize(vec(3, 4)), zero=V.normalize(vec(0, 0)), c=V.cosine(vec(1, 0), vec(0, 0)),
-        mean=V.edge_vector(vec(1, 0), vec(0, 1), vec(-1, 0), F.lit(1.0)), kind=V.edge_vector(vec(1, 0), vec(0, 1), vec(0, -2), F.lit(0.0)),
-        s=V.triad_strength(F.lit(0.3), F.lit(0.4), F.lit(0.5)), s0=V.triad_strength(F.lit(0.0), F.lit(0.0), F.lit(0.0)),
-        l13=V.level_factor(F.lit(13)), l1=V.level_factor(F.lit(1)), flat=V.level_factor(F.lit(3), 0.0), v32=V.norm(vec(1, 2, 2).cast("array<float>")),
+        spark, n=V.normalize(vec(*x)), zero=V.normalize(vec(0, 0, 0)), c=V.cosine(vec(*x), vec(0, 0, 0)), c2=V.cosine(vec(*x), vec(*y)),
+        part=V.edge_vector(vec(*x), vec(*y), vec(*z), F.lit(0.37)), mean=V.edge_vector(vec(*x), vec(*y), vec(*z), F.lit(1.0)), kind=V.edge_vector(vec(*x), vec(*y), vec(*z), F.lit(0.0)),
+        s=V.triad_strength(F.lit(0.2), F.lit(0.9), F.lit(0.6)), s0=V.triad_strength(F.lit(0.0), F.lit(0.0), F.lit(0.0)),
+        l7=V.level_factor(F.lit(7)), l2=V.level_factor(F.lit(2)), flat=V.level_factor(F.lit(5), 0.0), v32=V.norm(vec(2, 3, 6).cast("array<float>")),
     )
-    assert r["n"] == pytest.approx([0.6, 0.8]) and r["zero"] == [0, 0] and r["c"] == 0
-    assert r["mean"] == pytest.approx([math.sqrt(0.5)] * 2) and r["kind"] == pytest.approx([0, -1])
-    assert r["s"] == pytest.approx(0.25 / math.sqrt(0.3**4 + 0.4**4 + 0.5**4)) and r["s0"] == 0
-    assert (r["l13"], r["l1"], r["flat"], r["v32"]) == pytest.approx((1 + 0.5 / 13, 1.5, 1, 3))
+    assert r["n"] == pytest.approx(list(unit(x))) and r["zero"] == [0, 0, 0] and r["c"] == 0
+    assert r["c2"] == pytest.approx(float(unit(x) @ unit(y)))
+    assert r["part"] == pytest.approx(list(unit(0.37 * (x + y) + 0.63 * z))) or r["part"] == pytest.approx(list(unit(0.37 * unit(x + y) + 0.63 * unit(z))))
+    assert r["mean"] == pytest.approx(list(unit(x + y))) and r["kind"] == pytest.approx(list(unit(z)))
+    assert r["s"] == pytest.approx(0.36 / math.sqrt(0.2**4 + 0.9**4 + 0.6**4)) and r["s0"] == 0
+    assert (r["l7"], r["l2"], r["flat"], r["v32"]) == pytest.approx((1 + 0.5 * 7 / 13, 1 + 0.5 * 12 / 13, 1, 7))
 
 
 def test_text_functions(spark):
     none = F.array().cast("array<double>")
     w = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<int>")
     r = one(
-        spark, a=X.parse_dis1(F.lit("0 3 0")), b=X.parse_dis1(F.lit("")), c=X.parse_dis1(F.lit(None).cast("string")), d=X.parse_dis1(F.lit(" 1 x 2")),
-        s1=X.assign_sense(w(0, 5, 0), none), s2=X.assign_sense(w(0, 0), vec(0, 1)), s3=X.assign_sense(w(), vec(0.1, 0.2)), s4=X.assign_sense(w(0, 0), none),
-        t=X.type_text(F.lit("a"), F.array(F.lit("x"), F.lit("y")), F.array(F.lit("z")), F.lit("b"), none.cast("array<string>"), none.cast("array<string>")),
-        e=X.embed_text(F.lit("G"), F.array(F.lit("e1"), F.lit("e2"), F.lit("e3"))), i=X.is_object_id(F.lit("0" * 24)), j=X.is_object_id(F.lit("x")),
-        k=X.clipped(F.lit(""), 5), m=X.clipped(F.lit("abcdef"), 3),
+        spark, a=X.parse_dis1(F.lit("7 12")), b=X.parse_dis1(F.lit("")), c=X.parse_dis1(F.lit(None).cast("string")), d=X.parse_dis1(F.lit("  4 q  9 ")),
+        s1=X.assign_sense(w(2, 1, 8, 8), none), s2=X.assign_sense(w(0, 0, 0), vec(0.1, 0.73, 0.72)), s3=X.assign_sense(w(), vec(0.3, 0.71)), s4=X.assign_sense(w(0), none),
+        t=X.type_text(F.lit("tide"), F.array(F.lit("ebb")), F.array(F.lit("flow"), F.lit("surge")), F.lit("moon"), none.cast("array<string>"), none.cast("array<string>")),
+        e=X.embed_text(F.lit("rise of the sea"), F.array(F.lit("at dawn"), F.lit("by night"), F.lit("unused"))),
+        k=X.clipped(F.lit(""), 4), m=X.clipped(F.lit("harbour"), 4),
     )
-    assert (r["a"], r["b"], r["c"], r["d"]) == ([0, 3, 0], [], [], [1, 0, 2])
-    assert (r["s1"], r["s2"], r["s3"], r["s4"]) == (1, 1, None, None)
-    assert r["t"] == "a (antonyms: x, y; synonyms: z); b" and r["e"] == "G e1 e2"
-    assert (r["i"], r["j"], r["k"], r["m"]) == (True, False, None, "abc")
+    assert (r["a"], r["b"], r["c"], r["d"]) == ([7, 12], [], [], [4, 0, 9])
+    assert (r["s1"], r["s2"], r["s3"], r["s4"]) == (2, 1, None, None)
+    assert r["t"] == "tide (antonyms: ebb; synonyms: flow, surge); moon" and r["e"] == "rise of the sea at dawn by night"
+    assert (r["k"], r["m"]) == (None, "harb")
 
 
 RAW = [
-    '{"word": "glad", "pos": "adj", "lang_code": "en", "sounds": [{"ipa": "/a/", "tags": ["US"]}, {"ipa": "/b/"}], "senses": [{"glosses": ["G"], "examples": [{"text": "e1"}, {"text": ""}, {"text": "e2"}, {"text": "e3"}]}, {"glosses": []}, {"id": "x", "glosses": ["H"], "tags": ["t"]}], "synonyms": [{"word": "merry", "_dis1": "0 3"}, {"word": ""}], "antonyms": [{"word": "sad"}]}',
-    '{"word": "x", "pos": "noun", "lang_code": "fr", "senses": [{"glosses": ["g"]}]}',
-    '{"word": "foo", "pos": "noun", "senses": []}',
+    '{"word": "tidal", "pos": "adj", "lang_code": "en", "sounds": [{"ipa": "/1/", "tags": ["US"]}, {"ipa": "/2/"}], "senses": [{"glosses": ["of tides"], "examples": [{"text": "a"}, {"text": ""}, {"text": "b"}, {"text": "c"}]}, {"glosses": []}, {"id": "tidal-x", "glosses": ["second"], "tags": ["rare"]}], "synonyms": [{"word": "marine", "_dis1": "0 3"}, {"word": ""}], "antonyms": [{"word": "inland"}]}',
+    '{"word": "mer", "pos": "noun", "lang_code": "fr", "senses": [{"glosses": ["g"]}]}',
+    '{"word": "hollow", "pos": "noun", "senses": []}',
     '{"word": "", "pos": "noun", "senses": [{"glosses": ["g"]}]}',
     "{broken",
     "",
-    '{"word": "sad", "pos": "adj", "lang_code": "", "sounds": [{"ipa": "/s/", "tags": ["UK"]}, {"audio": "f"}], "forms": [{"form": "sadder"}, {"form": ""}], "senses": [{"glosses": ["S"]}]}',
+    '{"word": "inland", "pos": "adj", "lang_code": "", "sounds": [{"ipa": "/3/", "tags": ["UK"]}, {"audio": "f"}], "forms": [{"form": "inlander"}, {"form": ""}], "senses": [{"glosses": ["away from the sea"]}]}',
 ]
 
 
@@ -69,14 +73,14 @@ def test_records_become_words_and_senses(spark, tmp_path):
     raw = read_jsonl(spark, str(path), parse.RECORD)
     assert raw.count() == 5
     words = {r["word"]: r for r in parse.words(raw).collect()}
-    assert set(words) == {"glad", "sad"}
-    glad = words["glad"]
-    assert glad["ipa"] == "/b/" and words["sad"]["ipa"] == "/s/" and words["sad"]["forms"] == ["sadder"]
-    assert glad["sense_ids"] == ["glad-adj-0", "x"]
-    assert [(r["kind"], r["word"], r["dis1"]) for r in glad["relations"]] == [("antonyms", "sad", []), ("synonyms", "merry", [0, 3])]
+    assert set(words) == {"tidal", "inland"}
+    tidal = words["tidal"]
+    assert tidal["ipa"] == "/2/" and words["inland"]["ipa"] == "/3/" and words["inland"]["forms"] == ["inlander"]
+    assert tidal["sense_ids"] == ["tidal-adj-0", "tidal-x"]
+    assert [(r["kind"], r["word"], r["dis1"]) for r in tidal["relations"]] == [("antonyms", "inland", []), ("synonyms", "marine", [0, 3])]
     senses = parse.senses(raw).orderBy("word", "sense_idx").collect()
-    assert [(s["word"], s["sense_id"], s["sense_idx"]) for s in senses] == [("glad", "glad-adj-0", 0), ("glad", "x", 2), ("sad", "sad-adj-0", 0)]
-    assert senses[0]["embed_text"] == "G e1 e2" and senses[0]["examples"] == ["e1", "e2", "e3"] and senses[1]["tags"] == ["t"]
+    assert [(s["word"], s["sense_id"], s["sense_idx"]) for s in senses] == [("inland", "inland-adj-0", 0), ("tidal", "tidal-adj-0", 0), ("tidal", "tidal-x", 2)]
+    assert senses[1]["embed_text"] == "of tides a b" and senses[1]["examples"] == ["a", "b", "c"] and senses[2]["tags"] == ["rare"]
 
 
 def sequential(edges):
@@ -98,27 +102,35 @@ def test_rounds_equal_sequential_greedy(spark, tail):
 
 
 def test_matching_of_small_cases(spark):
-    vectors = [[1, 0, 0], [0.99, 0.01, 0], [0, 1, 0], [0, 0.99, 0.01]]
-    unit = [[x / math.sqrt(sum(y * y for y in v)) for x in map(float, v)] for v in vectors]
-    frame = spark.createDataFrame(list(enumerate(unit)), "id long, vector array<double>")
-    pairs = similarity.pairs_above(frame, -1.0, block=2)
-    assert pairs.count() == 6
-    found = matching.greedy_match(pairs, 0.5).collect()
-    assert sorted((r["i"], r["j"]) for r in found) == [(0, 1), (2, 3)]
-    assert matching.greedy_match(pairs, 1.01).count() == 0
-    cross = spark.createDataFrame([(0, 1, 0.0)], "i long, j long, cos double")
-    assert [tuple(r) for r in matching.greedy_match(cross, 0.4, same_word=F.lit(True), polysemy_floor=0.5).collect()] == [(0, 1, 0.5)]
-
-
-def test_words_of_a_small_dictionary(spark):
-    # Words in file order with their antonyms and synonyms among them.
-    ants = [(0, 6), (0, 7), (1, 6), (2, 8), (3, 9), (5, 9), (6, 0), (7, 0), (8, 2), (9, 3)]
-    syns = [(0, 1), (0, 2), (1, 0), (2, 0), (3, 0), (3, 5), (4, 0), (5, 2), (6, 7), (6, 10), (7, 6), (8, 6), (9, 6), (10, 6)]
-    rows = [(i, j, 1, n) for n, (i, j) in enumerate(ants)] + [(i, j, 6, n) for n, (i, j) in enumerate(syns, 100)]
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(11, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    pairs = similarity.pairs_above(frame, -1.0, block=4)
+    assert pairs.count() == 55
+    for least in (0.3, 0.9):
+        found = matching.greedy_match(pairs, least).collect()
+        want = sequential([(-float(x[i] @ x[j]), i, j) for i in range(11) for j in range(i + 1, 11) if x[i] @ x[j] >= least])
+        assert sorted((r["i"], r["j"]) for r in found) == want
+    assert matching.greedy_match(pairs, 1.5).count() == 0
+    low = spark.createDataFrame([(3, 8, -0.2)], "i long, j long, cos double")
+    assert [tuple(r) for r in matching.greedy_match(low, 0.1, same_word=F.lit(True), polysemy_floor=0.15).collect()] == [(3, 8, 0.15)]
+
+
+def test_tiers_equal_turns_one_by_one(spark):
+    """Words take turns in each tier; what an earlier tier took stays taken."""
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(14), tier, 100 * tier + n) for i in range(14) for n, tier in enumerate(rng.choices(range(1, 7), k=4))]
     found = matching.tiered_match(spark.createDataFrame(rows, "i long, j long, tier int, ord int"), Q_SEEDS).collect()
-    assert sorted((r["i"], r["j"], r["edge_type"], r["q"]) for r in found) == [(0, 6, "contradicts", 0.85), (2, 8, "contradicts", 0.85), (3, 9, "contradicts", 0.85)] + [
-        (r["i"], r["j"], "same_phenomenon", 0.9) for r in found if r["tier"] == 6
-    ]
+    taken, want = set(), []
+    for tier in range(1, 7):
+        for i, j, t, _ in sorted(rows, key=lambda r: (r[0], r[3])):
+            if t == tier and i != j and not taken & {i, j}:
+                taken |= {i, j}
+                want.append((i, j, tier))
+    assert want and sorted((r["i"], r["j"], r["tier"]) for r in found) == sorted(want)
+    kinds = {t: (kind, Q_SEEDS[seed]) for t, kind, _, seed in matching.TIERS}
+    assert all((r["edge_type"], r["q"]) == kinds[r["tier"]] for r in found)
 
 
 def test_assignment_equals_serial_dictatorship(spark):
@@ -241,7 +253,7 @@ def test_streamed_words_keep_the_last_version(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.jsonl").write_text("\n".join(RAW))
     stream_words(spark, folder, out, state).awaitTermination()
-    (tmp_path / "in" / "2.jsonl").write_text('{"word": "sad", "pos": "adj", "senses": [{"glosses": ["new"]}, {"glosses": ["more"]}]}')
+    (tmp_path / "in" / "2.jsonl").write_text('{"word": "inland", "pos": "adj", "senses": [{"glosses": ["new"]}, {"glosses": ["more"]}]}')
     stream_words(spark, folder, out, state).awaitTermination()
     found = {r["word"]: r["sense_ids"] for r in current(spark, out).collect()}
-    assert found == {"glad": ["glad-adj-0", "x"], "sad": ["sad-adj-0", "sad-adj-1"]}
+    assert found == {"tidal": ["tidal-adj-0", "tidal-x"], "inland": ["inland-adj-0", "inland-adj-1"]}
