@@ -40,11 +40,16 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; set a local one only where none is named."""
+    """Use the cluster's shared folder; a local one only where all executors are this process.
+
+    Raises where a cluster's session names no folder.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="filigree-checkpoint-"))
 
 
@@ -54,11 +59,155 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a key up to which it is never split.
+SPLIT_ROWS = 64
+
+
+def hot_keys(many: DataFrame, key: list[str], total: int) -> DataFrame | None:
+    """Keys that have more rows than a task should get, with ``copies`` to split them into.
+
+    total: rows of ``many``.  There are at most ``4 * partitions`` such keys, which is
+    the bound of what is gathered; None if there is none.
+    """
+    spark = many.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(SPLIT_ROWS, total // (4 * parts))
+    copies = F.ceil(F.col("count") / limit).cast("int").alias("copies")
+    rows = many.groupBy(*key).count().where(F.col("count") > limit).select(*key, copies)
+    found = rows.collect()
+    return spark.createDataFrame(found, rows.schema) if found else None
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: list[str], by: Column, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Join on ``key`` in which rows of a hot key go to several tasks.
+
+    Rows of ``many`` are dealt by a hash of ``by``, and the rows of ``one`` for a hot
+    key are repeated for each share.  hot: see :func:`hot_keys`, counted on ``many`` or
+    on what it was made of.
+    """
+    if hot is None:
+        return many.join(one, key, how)
+    hot = F.broadcast(hot)
+    share = F.pmod(F.xxhash64(by), F.coalesce("copies", F.lit(1))).cast("int")
+    left = many.join(hot, key, "left").withColumn("__share", share).drop("copies")
+    right = one.join(hot, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return left.join(right, [*key, "__share"], how).drop("__share")
+
+
+def tidy() -> None:
+    """Give memory that a Python stage has freed back to the system.
+
+    Workers live on after their tasks; what their allocators keep would add up over
+    the stages that run in one executor.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def tidily(run):
+    """A function for ``mapInArrow`` that tidies up when its partition is done."""
+
+    def done(batches):
+        yield from run(batches)
+        tidy()
+
+    return done
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Items of a block in :func:`scan`, and code points of a piece in :func:`pieces`.
+SCAN_BLOCK = 256
+PIECE_CHARS = 512
+
+
+def let(c: Column, f) -> Column:
+    """f of a value that is computed once, also where f uses it in a lambda."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def scan(items: Column, state: Column, step, out_type: str) -> Column:
+    """Array of what ``step`` gives for each item, with a state handed from one to the next.
+
+    step: (state, item) to (state, output).  An aggregate copies its state in each step,
+    so one that gathers outputs in it takes the square of the items.  Here one pass over
+    blocks of items notes the state at the begin of each, and a second one gathers a
+    block's outputs from there.
+    """
+    none = F.array().cast(f"array<{out_type}>")
+
+    def later(acc: Column, block: Column) -> Column:
+        end = F.aggregate(block, acc["state"], lambda s, x: step(s, x)[0])
+        return F.struct(end.alias("state"), F.concat(acc["starts"], F.array(acc["state"])).alias("starts"))
+
+    def add(acc: Column, x: Column) -> Column:
+        now, out = step(acc["state"], x)
+        return F.struct(now.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def outputs(b: Column) -> Column:
+        return F.aggregate(b["block"], F.struct(b["start"].alias("state"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def over(blocks: Column) -> Column:
+        first = F.struct(state.alias("state"), F.slice(F.array(state), 1, 0).alias("starts"))
+        starts = F.aggregate(blocks, first, later, lambda acc: acc["starts"])
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), starts.alias("start")), outputs))
+
+    return let(blocked(items), lambda b: F.when(F.size(b) > 0, over(b)).otherwise(none))
+
+
+def blocked(items: Column) -> Column:
+    """An array in blocks of ``SCAN_BLOCK`` items; a slice of an array reads all of it, one of blocks few."""
+    size = F.lit(SCAN_BLOCK)
+
+    def blocks(it: Column) -> Column:
+        last = F.greatest(F.floor((F.size(it) - 1) / size).cast("int"), F.lit(0))
+        return F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(it, i * size + 1, size)), lambda b: F.size(b) > 0)
+
+    return let(items, blocks)
+
+
+def part_of(blocks: Column, start: Column, n: Column) -> Column:
+    """n items from place ``start`` (from 0) of an array given by :func:`blocked`."""
+    size = F.lit(SCAN_BLOCK)
+    first = F.floor(start / size).cast("int")
+    last = F.floor((start + F.greatest(n, F.lit(1)) - 1) / size).cast("int")
+    return F.slice(F.flatten(F.slice(blocks, first + 1, last - first + 1)), start - first * size + 1, n)
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of ``PIECE_CHARS`` code points, for :func:`cut`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Code points from start to end of a text given as :func:`pieces`.
+
+    A substring of a whole text is found by counting from its begin; this counts from
+    the begin of a piece.  Places beyond either end are left out.
+    """
+    n = F.lit(PIECE_CHARS)
+    start = F.greatest(start, F.lit(0))
+
+    def taken(i: Column, j: Column) -> Column:
+        first = F.substr(F.coalesce(F.get(parts, i), F.lit("")), start - i * n + 1, F.when(i == j, end - start).otherwise(n))
+        middle = F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        last = F.substr(F.coalesce(F.get(parts, j), F.lit("")), F.lit(1), end - j * n)
+        return F.when(i == j, first).otherwise(F.concat(first, middle, last))
+
+    whole = taken(F.floor(start / n).cast("int"), F.floor((end - 1) / n).cast("int"))
+    return F.when(end > start, whole).otherwise(F.lit(""))
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file."""
     import public_tokenizers
@@ -97,9 +246,9 @@ class ByteLevelEncoder:
     def __init__(self, path: str):
         import numpy as np
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
+        self._exact = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = {s: b for b, s in enumerate(byte_symbols())}
@@ -119,6 +268,15 @@ class ByteLevelEncoder:
         )
         self.fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def exact(self):
+        """The library's tokenizer, which is loaded when the first text needs it."""
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.path)
+        return self._exact
+
     def __call__(self, text: str):
         import numpy as np
 
@@ -129,6 +287,6 @@ class ByteLevelEncoder:
         return self.fast.encode_to_numpy(text).astype(np.uint32, copy=False)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def byte_level(path: str) -> ByteLevelEncoder:
     return ByteLevelEncoder(path)

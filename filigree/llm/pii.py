@@ -11,6 +11,7 @@ decides on spans that the strict patterns leave out.  Strict spans always stay.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import pick
+from filigree.llm.common import cut, let, pick, pieces, scan
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -81,15 +82,13 @@ def _located(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
+    def add(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + x["gap"]
         end = begin + F.length(x["match"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return end, F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"))
 
-    return F.aggregate(F.filter(steps, lambda x: x["match"].isNotNull()), start, add, lambda acc: acc["out"])
+    return scan(F.filter(steps, lambda x: x["match"].isNotNull()), F.lit(0), add, "struct<start:int,end:int,match:string>")
 
 
 _NONE = "array<struct<start:int,end:int,match:string>>"
@@ -133,11 +132,10 @@ LABELERS = ("strict", "gazetteer", "context", "beside")
 FEATURES = ("separated", "digits", "long", "obfuscated")
 
 
-def _judged(text: Column, kind: str, span: Column, strict: bool) -> Column:
-    """A candidate with its votes and features."""
-    before = F.substr(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)), F.least(span["start"], F.lit(CONTEXT)))
-    left, right = F.substr(text, span["start"], F.lit(1)), F.substr(text, span["end"] + 1, F.lit(1))
-    beside = F.when(span["start"] > 0, left.rlike(r"[\p{L}\p{N}]")).otherwise(F.lit(False)) | right.rlike(r"[\p{L}\p{N}]")
+def _judged(parts: Column, kind: str, span: Column, strict: bool) -> Column:
+    """A candidate with its votes and features; parts: the text's pieces."""
+    before = cut(parts, span["start"] - CONTEXT, span["start"])
+    beside = before.rlike(r"[\p{L}\p{N}]$") | cut(parts, span["end"], span["end"] + 1).rlike(r"[\p{L}\p{N}]")
     m = span["match"]
     return F.struct(
         F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("place"), span["start"].alias("start"), span["end"].alias("end"),
@@ -155,11 +153,19 @@ def _judged(text: Column, kind: str, span: Column, strict: bool) -> Column:
 def candidates(text: Column) -> Column:
     """All candidates of a text: strict spans and loose ones, with their votes."""
 
-    def judged(kind: str, spans: Column, strict: bool) -> Column:
-        return F.transform(spans, lambda x: _judged(text, kind, x, strict))
+    spans = [(k, base_spans(text, k), True) for k in KINDS] + [(k, loose_spans(text, k), False) for k in KINDS]
+    found = F.struct(*[x.alias(f"s{i}") for i, (_, x, _) in enumerate(spans)])
+    any_found = lambda f: functools.reduce(lambda a, b: a | b, [F.size(f[f"s{i}"]) > 0 for i in range(len(spans))])
 
-    parts = [judged(k, base_spans(text, k), True) for k in KINDS] + [judged(k, loose_spans(text, k), False) for k in KINDS]
-    return F.concat(*parts)
+    def judged(f: Column, parts: Column) -> Column:
+        def of(i: int) -> Column:
+            kind, _, strict = spans[i]
+            return F.transform(f[f"s{i}"], lambda x: _judged(parts, kind, x, strict))
+
+        return F.concat(*[of(i) for i in range(len(spans))])
+
+    none = F.array().cast("array<string>")
+    return let(found, lambda f: let(F.when(any_found(f), pieces(text)).otherwise(none), lambda parts: judged(f, parts)))
 
 
 @dataclass(frozen=True)
@@ -252,8 +258,8 @@ def find_pii(
 
     Returns doc_id, text, spans (array of start, place, kind, end, strict, score:
     by start, then kind; code points, end exclusive) and the columns in ``keep``.
-    Strict spans have score 1.  Added spans reach the threshold and meet no strict
-    span.
+    Strict spans have score 1; those of different kinds may overlap.  Added spans reach
+    the threshold and meet no strict span and no added one before them.
 
     Null and empty texts have no spans; a null text stays null.  Repeated rows and
     null ids are kept; an empty table gives no rows.
@@ -261,22 +267,40 @@ def find_pii(
     docs = pick(df, doc_id=id_col, text=text_col, **{k: k for k in keep})
     fitted = train(docs.select("text"), settings)
     found = docs.withColumn("all", candidates(F.coalesce("text", F.lit(""))))
-    strict = F.filter("all", lambda c: c["strict"] == 1)
-    found = found.withColumn("base", strict)
 
-    def free(c: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    def span(c: Column) -> Column:
+        score = F.when(c["strict"] == 1, F.lit(1.0)).otherwise(fitted.score(lambda f: c[f]))
+        return F.struct(c["start"].alias("start"), c["place"].alias("place"), c["kind"].alias("kind"), c["end"].alias("end"), c["strict"].alias("strict"), score.alias("score"))
+
+    scored = F.filter(F.transform("all", span), lambda c: (c["strict"] == 1) | (c["score"] >= settings.threshold))
+    return found.select("doc_id", "text", _apart(F.array_sort(scored)).alias("spans"), *keep)
 
-    added = F.filter("all", lambda c: (c["strict"] == 0) & (fitted.score(lambda f: c[f]) >= settings.threshold) & free(c))
 
-    def span(c: Column, score: Column) -> Column:
-        return F.struct(c["start"].alias("start"), c["place"].alias("place"), c["kind"].alias("kind"), c["end"].alias("end"), c["strict"].alias("strict"), score.alias("score"))
+_SPAN = "struct<start:int,place:int,kind:string,end:int,strict:int,score:double>"
+
 
-    spans = F.concat(
-        F.transform("base", lambda c: span(c, F.lit(1.0))),
-        F.transform(added, lambda c: span(c, fitted.score(lambda f: c[f]))),
-    )
-    return found.select("doc_id", "text", F.array_sort(spans).alias("spans"), *keep)
+def _apart(spans: Column) -> Column:
+    """Sorted spans without added ones that meet a strict span, or a kept added one before.
+
+    One way back notes the strict span that begins next, one way forth the end of what
+    is kept so far; nothing is compared with everything.
+    """
+    far = F.lit(2147483647)
+
+    def back(ahead: Column, c: Column) -> tuple[Column, Column]:
+        return F.when(c["strict"] == 1, c["start"]).otherwise(ahead), F.struct(c.alias("c"), ahead.alias("ahead"))
+
+    def forth(ends: Column, x: Column) -> tuple[Column, Column]:
+        c = x["c"]
+        strict = c["strict"] == 1
+        kept = strict | ((c["start"] >= ends) & (c["end"] <= x["ahead"]))
+        # A strict span at the same start sorts by kind, so it may stand before or behind.
+        return F.when(kept, F.greatest(ends, c["end"])).otherwise(ends), F.struct(c.alias("c"), kept.alias("kept"))
+
+    noted = F.reverse(scan(F.reverse(spans), far, back, f"struct<c:{_SPAN},ahead:int>"))
+    judged = scan(noted, F.lit(0), forth, f"struct<c:{_SPAN},kept:boolean>")
+    only = F.transform(F.filter(judged, lambda x: x["kept"]), lambda x: x["c"])
+    return F.when(F.exists(spans, lambda c: c["strict"] == 0), only).otherwise(spans)
 
 
 def of_kind(spans: Column, kind: str) -> Column:
@@ -290,12 +314,14 @@ def listed(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, as its first kind's name in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def add(acc: Column, c: Column) -> Column:
-        tag = F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]"))
-        grown = F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(c["start"] - acc["at"], F.lit(0))), tag)
-        return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.when(c["start"] >= acc["at"], grown).otherwise(acc["out"]).alias("out"))
+    def made(parts: Column) -> Column:
+        def add(at: Column, c: Column) -> tuple[Column, Column]:
+            tag = F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]"))
+            shown = F.concat(cut(parts, at, c["start"]), tag)
+            return F.greatest(at, c["end"]), F.when(c["start"] >= at, shown).otherwise(F.lit(""))
+
+        last = F.aggregate(spans, F.lit(0), lambda at, c: F.greatest(at, c["end"]))
+        return F.concat(F.array_join(scan(spans, F.lit(0), add, "string"), ""), cut(parts, last, F.length(text)))
 
-    end = lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, end)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(pieces(text), made)).otherwise(text)
