@@ -3,8 +3,9 @@
 A rule is a regular expression on host and path together with literal tokens that
 every match holds.  Each rule is indexed by the one of its tokens that the
 fewest URLs have; a URL's tokens fetch candidate rules, and only those run their
-expressions.  Everything is column expressions; the only shuffle is the count of
-the rules' own tokens.
+expressions.  Everything is column expressions.  A short list of rules is part of the
+plan, and the only shuffle is the count of the rules' own tokens.  A long list is a
+table that is joined on the tokens of the distinct URLs.  Both give the same rows.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import lower_ascii, pick
+from filigree.llm.common import hot_keys, lower_ascii, pick, settle, spread_join
 
-#: Rules are inlined in the plan; a longer list is refused.
-MOST_RULES = 1000
+#: Rules up to this number are part of the plan; more are a table.
+INLINE_RULES = 200
+#: Bytes of rules up to which that table is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -61,9 +64,9 @@ PATTERN_RULES = (
     Rule("block", r"^(?:[^/]*\.)?(?:[^./]*-)?farm\.", ("farm",), name="link farm"),
     Rule("block", r"^(?:[^/]*\.)?ads[.-]", ("ads",), name="ad host"),
     Rule("block", r"^(?:[^/]*\.)?doubleclick\.", ("doubleclick",), name="ad network"),
-    Rule("block", r"^[^/]*/(?:.*/)?wp-login\.php(?:/|$)", ("wp", "login", "php"), name="login page"),
-    Rule("block", r"^[^/]*/(?:.*/)?cgi-bin/", ("cgi", "bin"), name="script folder"),
-    Rule("block", r"^[^/]*/(?:.*/)?adult(?:/|$)", ("adult",), name="adult section"),
+    Rule("block", r"^[^/]*/(?:[\s\S]*/)?wp-login\.php(?:/|(?![\s\S]))", ("wp", "login", "php"), name="login page"),
+    Rule("block", r"^[^/]*/(?:[\s\S]*/)?cgi-bin/", ("cgi", "bin"), name="script folder"),
+    Rule("block", r"^[^/]*/(?:[\s\S]*/)?adult(?:/|(?![\s\S]))", ("adult",), name="adult section"),
     Rule("block", r"^(?:[^/]*\.)?casino[.-]", ("casino",), name="gambling host"),
 )
 
@@ -91,15 +94,19 @@ def _tokens(text: Column) -> Column:
 def token_index(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[int]]:
     """Rule numbers by their rarest token, counted over all URLs (column ``norm``).
 
-    Gathers one count for each of the rules' own tokens.
+    Gathers one count for each of the rules' own tokens, of which there are no more
+    than the driver was given with the rules.
     """
     own = sorted({t for r in rules for t in r.tokens})
     if any(not r.tokens for r in rules):
         raise ValueError("every rule needs a literal token")
-    counted = (
-        urls.select(F.explode(F.array_intersect(_tokens(F.col("norm")), F.array(*map(F.lit, own)))).alias("token"))
-        .groupBy("token").count().collect()
-    )
+    if len(rules) <= INLINE_RULES:
+        known = urls.select(F.explode(F.array_intersect(_tokens(F.col("norm")), F.array(*map(F.lit, own)))).alias("token"))
+    else:
+        kept = urls.sparkSession.createDataFrame([(t,) for t in own], "token string")
+        kept = F.broadcast(kept) if sum(map(len, own)) <= BROADCAST_BYTES else kept
+        known = urls.select(F.explode(_tokens(F.col("norm"))).alias("token")).join(kept, "token", "left_semi")
+    counted = known.groupBy("token").count().collect()
     count = {r["token"]: r["count"] for r in counted}
     index: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
@@ -122,27 +129,62 @@ def judge_urls(
     verdict.  Repeated rows and null ids are judged each; an empty table gives no
     rows.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     urls = pick(df, page_id=id_col, url=url_col).select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     urls = urls.withColumn("norm", F.concat("host", "path"))
     if not rules:
         empty = F.array().cast("array<string>")
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), empty.alias("pattern_rules"), F.lit(0).alias("n_candidates"))
+    if len(rules) > INLINE_RULES:
+        norms = settle(urls.groupBy("norm").agg(F.count("*").alias("count")))
+        ran = _from_table(norms, token_index(norms, rules), rules)
+        total = norms.agg(F.sum("count")).first()[0] or 0
+        limit = max(64, total // (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        many = norms.where(F.col("count") > limit).select("norm", F.ceil(F.col("count") / limit).cast("int").alias("copies"))
+        judged = settle(ran)
+        ran = spread_join(urls, judged, ["norm"], F.monotonically_increasing_id(), None if many.isEmpty() else many)
+        return _judged(ran, default)
     index = token_index(urls, rules)
-
-    def one(r: Rule) -> Column:
-        return F.struct(
-            F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("verdict"), F.lit(r.base).cast("string").alias("base"),
-            F.lit(-len(r.base or "")).alias("order"), F.lit(r.name or r.pattern).alias("name"),
-        )
-
-    held = F.create_map(*[c for t, at in sorted(index.items()) for c in (F.lit(t), F.array(*[one(rules[i]) for i in at]))])
+    held = F.create_map(*[c for t, at in sorted(index.items()) for c in (F.lit(t), F.array(*[_inline(rules[i]) for i in at]))])
     known = F.array(*[F.lit(t) for t in sorted(index)])
     fetched = F.flatten(F.transform(F.array_intersect(_tokens(F.col("norm")), known), lambda t: F.element_at(held, t)))
     ran = urls.withColumn("candidates", fetched)
     fits = F.filter("candidates", lambda r: F.regexp_like(F.col("norm"), r["pattern"]))
-    ran = ran.select("page_id", "host", "path", F.size("candidates").alias("n_candidates"), fits.alias("fits"))
+    return _judged(ran.select("page_id", "host", "path", F.size("candidates").alias("n_candidates"), fits.alias("fits")), default)
+
+
+_RULE = "struct<pattern:string,verdict:string,base:string,order:int,name:string>"
+
+
+def _values(r: Rule) -> tuple:
+    return r.pattern, r.verdict, r.base, -len(r.base or ""), r.name or r.pattern
+
+
+def _inline(r: Rule) -> Column:
+    names = ("pattern", "verdict", "base", "order", "name")
+    return F.struct(*[F.lit(v).cast("int" if n == "order" else "string").alias(n) for n, v in zip(names, _values(r), strict=True)])
+
+
+def _from_table(norms: DataFrame, index: dict[str, list[int]], rules: tuple[Rule, ...]) -> DataFrame:
+    """norm, n_candidates and fits of distinct URLs (norm), with the rules as a table."""
+    rows = [(t, *_values(rules[i])) for t, at in sorted(index.items()) for i in at]
+    listed = norms.sparkSession.createDataFrame(rows, "token string, pattern string, verdict string, base string, order int, name string")
+    tokens = norms.select("norm", F.explode(_tokens(F.col("norm"))).alias("token"))
+    if sum(len(r.pattern) + len(r.name) + len(r.base or "") + 40 for r in rules) <= BROADCAST_BYTES:
+        met = tokens.join(F.broadcast(listed), "token")
+    else:
+        # Tokens that many URLs have are no rule's rarest as a rule, but some may be.
+        kept = settle(tokens.join(listed.select("token").distinct(), "token", "left_semi"))
+        met = spread_join(kept, listed, ["token"], F.col("norm"), hot_keys(kept, ["token"], kept.count()))
+    one = F.struct("pattern", "verdict", "base", "order", "name").cast(_RULE)
+    # A URL's fitting rules are one row; counts and lists combine before the shuffle.
+    fit = F.when(F.regexp_like(F.col("norm"), F.col("pattern")), one)
+    found = met.groupBy("norm").agg(F.count("*").cast("int").alias("n_candidates"), F.collect_list(fit).alias("fits"))
+    none = F.array().cast(f"array<{_RULE}>")
+    return norms.select("norm").join(found, "norm", "left").select("norm", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("fits", none).alias("fits"))
+
+
+def _judged(ran: DataFrame, default: str) -> DataFrame:
+    """The verdict by the rules that fit a URL (fits)."""
     base = F.array_sort(
         F.transform(F.filter("fits", lambda r: r["base"].isNotNull()), lambda r: F.struct(r["order"].alias("order"), r["base"].alias("base"), r["verdict"].alias("verdict")))
     )
