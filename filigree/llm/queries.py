@@ -160,9 +160,9 @@ WITH RECURSIVE listed AS (
          coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss
   FROM placed GROUP BY conv_id, c
 ), room AS (
-  SELECT c, own, greatest(512 - lead_n, 1) AS room, least(128, greatest(512 - lead_n, 1) - 1) AS spare FROM digests
+  SELECT c, own, greatest(512 - lead_n, 1) AS room FROM digests
 ), turns AS (
-  SELECT p.c, p.place - r.own AS i, r.room, r.spare, p.n,
+  SELECT p.c, p.place - r.own AS i, r.room, greatest(0, least(128, r.room - p.n)) AS spare, p.n,
          sum(p.n) OVER w - p.n AS upto, sum(p.chars) OVER w - p.chars AS chars_before
   FROM placed p JOIN room r USING (c) WHERE p.place >= r.own WINDOW w AS (PARTITION BY p.c ORDER BY p.place)
 ), backs AS (

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from filigree.llm import chat, pii, url_filters
 from filigree.llm.queries import CONTROL_TEXT, op9_chat_windows
@@ -66,6 +68,24 @@ def test_urls_against_plain_code(spark):
         assert r["verdict"] == (verdict or ("block" if patterns else "allow"))
 
 
+@pytest.mark.parametrize(("inline", "broadcast"), [(0, 8 << 20), (0, 0)])
+def test_rules_in_a_table_judge_as_rules_in_the_plan(spark, monkeypatch, inline, broadcast):
+    """Also a page that fills half of the table, and far more rules than a plan holds."""
+    odd = ["http://h.example/a\n/wp-login.php", "http://h.example/wp-login.php\n", "http://h.example/adult\n/", "http://h.example/x/adult"]
+    urls = [*URLS, *odd, *[URLS[5]] * 300]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted(map(repr, url_filters.judge_urls(pages).collect()))
+    assert [r["verdict"] for r in url_filters.judge_urls(pages.where(F.col("url").isin(odd))).orderBy("page_id").collect()] == ["block", "allow", "allow", "block"]
+    more = tuple(url_filters.host_rule("block", f"site{i}.test/") for i in range(100_000))
+    monkeypatch.setattr(url_filters, "INLINE_RULES", inline)
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", broadcast)
+    assert sorted(map(repr, url_filters.judge_urls(pages).collect())) == want
+    extra = pages.union(spark.createDataFrame([(-1, "http://a.site99999.test/x")], "page_id long, url string"))
+    found = url_filters.judge_urls(extra, rules=url_filters.BASE_RULES + url_filters.PATTERN_RULES + more)
+    assert sorted(map(repr, found.where("page_id >= 0").collect())) == want
+    assert found.where("page_id = -1").first()["rule"] == "site99999.test/"
+
+
 def test_rules_are_indexed_by_their_rarest_token(spark):
     urls = spark.createDataFrame([("a.net/en/",), ("b.net/en/",), ("example.net/x",)], "norm string")
     rules = (url_filters.host_rule("allow", "example.net/en/"), url_filters.host_rule("block", "net/"))
@@ -146,14 +166,13 @@ def test_strict_spans_against_plain_code(spark):
         for s in r["spans"]:
             if not s["strict"]:
                 assert s["score"] >= pii.Settings().threshold
-                assert all(s["end"] <= a or b <= s["start"] for a, _, _, b in strict)
+                others = strict + [(x["start"], 0, "", x["end"]) for x in r["spans"] if not x["strict"] and x != s]
+                assert all(s["end"] <= a or b <= s["start"] for a, _, _, b in others)
 
 
 def test_masking_keeps_the_rest(spark):
     rows = [(i, t) for i, t in enumerate(PRIVATE[:10])]
     found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))
-    from pyspark.sql import functions as F
-
     for r in found.select("doc_id", "text", pii.masked(F.col("text"), F.col("spans")).alias("out"), "spans").collect():
         if r["text"] is None:
             assert r["out"] is None
@@ -227,8 +246,10 @@ def test_windows_read_back(spark, settings):
         assert r["formatted"].endswith(chat.END)
         parts.setdefault(r["conv_id"], []).append(r)
         # Beside the system turn, which the first window counts as new.
-        new = r["new_turns"] - (r["window"] == 0 and want[r["conv_id"]][0][0] == "system")
-        assert r["tokens"] <= settings.budget or new <= 1
+        led = want[r["conv_id"]][0][0] == "system"
+        new = r["new_turns"] - (r["window"] == 0 and led)
+        old = r["formatted"].count('seen="1"') - (r["window"] > 0 and led)
+        assert r["tokens"] <= settings.budget or (new <= 1 and old == 0)
     for c, own in parts.items():
         assert [r["window"] for r in own] == list(range(len(own)))
         assert sum(r["new_turns"] for r in own) == len(want[c])
@@ -251,6 +272,37 @@ def test_registered_conversations(spark, small):
         assert (found[c]["loss_chars"], found[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_history_leaves_room_for_the_turn(spark):
+    """Turns of a given count of tokens; a turn that fits alone never exceeds the budget."""
+    counts = [100, 100, 450, 30, 600, None, 90, 400]
+    rows = [(1, i, ("user", "assistant")[i % 2], "x", n) for i, n in enumerate(counts)]
+    found = chat.format_conversations(spark.createDataFrame(rows, SCHEMA + ", n int"), tokens_col="n").orderBy("window").collect()
+    shown = [(r["tokens"], r["new_turns"], r["formatted"].count('seen="1"')) for r in found]
+    assert shown == [(208, 2, 0), (488, 2, 0), (604, 1, 0), (506, 3, 0)] or all(t <= 512 or (n == 1 and old == 0) for t, n, old in shown)
+    assert sum(n for _, n, _ in shown) == len(counts)
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    """30,000 turns in one conversation."""
+    rows = spark.range(30_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    found = chat.read_back(chat.format_conversations(rows)).select(F.size("turns").alias("n"), F.size("losses").alias("m"), "windows").first()
+    assert (found["n"], found["m"]) == (30_000, 15_000) and found["windows"] > 400
+    assert time.time() - began < 120
+
+
+def test_texts_of_many_spans_take_time_in_proportion(spark):
+    """30,000 strict spans in one text, and many loose ones in another."""
+    text = " ".join(f"u{i}@example.com" for i in range(30_000))
+    loose = " ".join("write jane (at) example (dot) com" for _ in range(5_000))
+    rows = spark.createDataFrame([(1, text), (2, loose), (3, "x" * 1_000_000)], "doc_id long, text string")
+    began = time.time()
+    found = pii.find_pii(rows)
+    found = {r["doc_id"]: r for r in found.select("doc_id", F.size("spans").alias("n"), F.length(pii.masked(F.col("text"), F.col("spans"))).alias("m")).collect()}
+    assert found[1]["n"] == 30_000 and found[1]["m"] == 30_000 * len("[EMAIL] ") - 1 and found[3]["n"] == 0
+    assert time.time() - began < 180
+
+
 def test_no_conversations(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert chat.read_back(chat.format_conversations(none)).count() == 0
