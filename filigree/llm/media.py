@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from filigree.llm.common import FLUSH_BYTES, pick
+from filigree.llm.common import FLUSH_BYTES, pick, tidily
 
 #: Samples a second of the stored form.
 RATE = 8000
@@ -37,122 +38,203 @@ MAGIC = {
 }
 
 
-def _wav(b: memoryview) -> int:
-    if len(b) < 44 or bytes(b[8:12]) != b"WAVE":
+class Blob:
+    """A blob, and what the validators of all hits in it share: each is looked up once."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        self._once: dict = {}
+        #: Ends that a walk from a place reached before, by format.
+        self.walked: dict[tuple[str, int], int] = {}
+
+    def once(self, name: str, find):
+        if name not in self._once:
+            self._once[name] = find()
+        return self._once[name]
+
+    def after(self, mark: bytes, at: int) -> int:
+        """First place of a mark from ``at`` on, or -1; all places are searched once."""
+
+        def places() -> list[int]:
+            out, i = [], self.raw.find(mark)
+            while i >= 0:
+                out.append(i)
+                i = self.raw.find(mark, i + 1)
+            return out
+
+        found = self.once(f"all {mark!r}", places)
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+    def walk(self, kind: str, at: int, step) -> int:
+        """Follow ``step`` from place to place: the end of the structure, or -1.
+
+        step: a place's next one, or (end,) where the structure ends; -1 is invalid.
+        Walks that meet share the rest of their way.
+        """
+        way = []
+        while (kind, at) not in self.walked:
+            way.append(at)
+            at = step(at)
+            if isinstance(at, tuple):
+                self.walked[kind, way[-1]] = at[0]
+                at = way[-1]
+                break
+            if at < 0 or at > len(self.raw):
+                self.walked[kind, way[-1]] = -1
+                at = way[-1]
+                break
+        end = self.walked[kind, at]
+        for i in way:
+            self.walked[kind, i] = end
+        return end
+
+
+def _wav(c: Blob, at: int) -> int:
+    b = c.raw
+    if len(b) - at < 44 or b[at + 8 : at + 12] != b"WAVE":
         return 0
-    end = 8 + struct.unpack_from("<I", b, 4)[0]
+    end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
     if end > len(b):
         return 0
-    at, seen = 12, set()
-    while at + 8 <= end:
-        name, size = bytes(b[at : at + 4]), struct.unpack_from("<I", b, at + 4)[0]
+    i, seen = at + 12, set()
+    while i + 8 <= end:
+        name, size = b[i : i + 4], struct.unpack_from("<I", b, i + 4)[0]
         seen.add(name)
-        at += 8 + size + (size & 1)
-    return end if at == end and {b"fmt ", b"data"} <= seen else 0
-
-
-def _png(b: memoryview) -> int:
-    at, first = 8, True
-    while at + 12 <= len(b):
-        size, name = struct.unpack_from(">I", b, at)[0], bytes(b[at + 4 : at + 8])
-        end = at + 12 + size
-        if end > len(b) or first != (name == b"IHDR") or zlib.crc32(b[at + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
-            return 0
-        at, first = end, False
-        if name == b"IEND":
-            return at
-    return 0
+        i += 8 + size + (size & 1)
+    return end - at if i == end and {b"fmt ", b"data"} <= seen else 0
 
 
-def _gif(b: memoryview) -> int:
-    if len(b) < 14:
+def _png(c: Blob, at: int) -> int:
+    b, view = c.raw, memoryview(c.raw)
+    if b[at + 8 : at + 16] != b"\0\0\0\rIHDR":
         return 0
-    at = 13 + (3 << (b[10] & 7) + 1 if b[10] & 0x80 else 0)
-
-    def blocks(at: int) -> int:
-        while at < len(b) and b[at]:
-            at += b[at] + 1
-        return at + 1
-
-    while at < len(b):
-        if b[at] == 0x3B:
-            return at + 1
-        if b[at] == 0x21:
-            at = blocks(at + 2)
-        elif b[at] == 0x2C and at + 10 <= len(b):
-            flags = b[at + 9]
-            at = blocks(at + 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0))
-        else:
-            return 0
-    return 0
+
+    def step(i: int):
+        if i + 12 > len(b):
+            return -1
+        size, name = struct.unpack_from(">I", b, i)[0], b[i + 4 : i + 8]
+        end = i + 12 + size
+        if end > len(b) or name == b"IHDR" or zlib.crc32(view[i + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
+            return -1
+        return (end,) if name == b"IEND" else end
+
+    if at + 33 > len(b) or zlib.crc32(view[at + 12 : at + 29]) != struct.unpack_from(">I", b, at + 29)[0]:
+        return 0
+    return max(0, c.walk("png", at + 33, step) - at)
 
 
-def _jpeg(b: memoryview) -> int:
-    at = 2
-    while at + 4 <= len(b) and b[at] == 0xFF:
-        kind, size = b[at + 1], struct.unpack_from(">H", b, at + 2)[0]
+def _gif(c: Blob, at: int) -> int:
+    b = c.raw
+    if len(b) - at < 14:
+        return 0
+
+    def blocks(i: int) -> int:
+        while i < len(b) and b[i]:
+            i += b[i] + 1
+        return i + 1
+
+    def step(i: int):
+        if i >= len(b):
+            return -1
+        if b[i] == 0x3B:
+            return (i + 1,)
+        if b[i] == 0x21:
+            return blocks(i + 2)
+        if b[i] == 0x2C and i + 10 <= len(b):
+            flags = b[i + 9]
+            return blocks(i + 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0))
+        return -1
+
+    return max(0, c.walk("gif", at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0), step) - at)
+
+
+def _jpeg(c: Blob, at: int) -> int:
+    b = c.raw
+
+    def step(i: int):
+        if i + 4 > len(b) or b[i] != 0xFF:
+            return -1
+        kind, size = b[i + 1], struct.unpack_from(">H", b, i + 2)[0]
         if size < 2:
-            return 0
-        at += 2 + size
-        if kind == 0xDA:
-            end = bytes(b[at:]).find(b"\xff\xd9")
-            return at + end + 2 if end >= 0 else 0
-    return 0
+            return -1
+        if kind != 0xDA:
+            return i + 2 + size
+        end = c.after(b"\xff\xd9", i + 2 + size)
+        return (end + 2,) if end >= 0 else -1
+
+    return max(0, c.walk("jpeg", at + 2, step) - at)
 
 
-def _pdf(b: memoryview) -> int:
-    end = bytes(b).rfind(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in bytes(b[:end]) else 0
+def _pdf(c: Blob, at: int) -> int:
+    end = c.once("pdf end", lambda: c.raw.rfind(b"%%EOF"))
+    table = c.once("pdf table", lambda: c.raw.rfind(b"startxref", 0, max(end, 0)))
+    return end + 5 - at if end > at and table >= at else 0
 
 
-def _zip(b: memoryview) -> int:
-    raw = bytes(b)
-    end = raw.rfind(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(raw):
+def _zip(c: Blob, at: int) -> int:
+    b = c.raw
+    end = c.once("zip end", lambda: b.rfind(b"PK\x05\x06"))
+    if end < at or end + 22 > len(b):
         return 0
-    size, at, note = struct.unpack_from("<IIH", raw, end + 12)
-    return end + 22 + note if at + size == end and end + 22 + note <= len(raw) and raw[at : at + 4] == b"PK\x01\x02" else 0
+    size, first, note = struct.unpack_from("<IIH", b, end + 12)
+    return end + 22 + note - at if at + first + size == end and end + 22 + note <= len(b) and b[at + first : at + first + 4] == b"PK\x01\x02" else 0
 
 
-def _gzip(b: memoryview) -> int:
+def _gzip(c: Blob, at: int) -> int:
+    view, step = memoryview(c.raw), 1 << 16
+    if c.raw[at + 3 : at + 4] > b"\x1f":
+        return 0
     try:
         d = zlib.decompressobj(31)
-        rest = bytes(b)
-        while rest and not d.eof:
-            d.decompress(rest, 1 << 16)
-            rest = d.unconsumed_tail
-        return len(b) - len(d.unused_data) if d.eof else 0
+        for i in range(at, len(c.raw), step):
+            rest = view[i : i + step]
+            while len(rest) and not d.eof:
+                d.decompress(rest, 1 << 16)
+                rest = d.unconsumed_tail
+            if d.eof:
+                return min(i + step, len(c.raw)) - len(d.unused_data) - at
     except zlib.error:
+        pass
+    return 0
+
+
+def _ogg(c: Blob, at: int) -> int:
+    b = c.raw
+
+    def step(i: int):
+        if i + 27 > len(b) or b[i : i + 5] != b"OggS\0":
+            return -1
+        n = b[i + 26]
+        end = i + 27 + n + sum(b[i + 27 : i + 27 + n])
+        if end > len(b):
+            return -1
+        return (end,) if b[i + 5] & 4 else end
+
+    return max(0, c.walk("ogg", at, step) - at)
+
+
+def _flac(c: Blob, at: int) -> int:
+    b = c.raw
+    if at + 8 > len(b) or b[at + 4] & 0x7F or b[at + 5 : at + 8] != b"\0\0\x22":
         return 0
 
+    def step(i: int):
+        if i + 4 > len(b):
+            return -1
+        end = i + 4 + int.from_bytes(b[i + 1 : i + 4], "big")
+        if not b[i] & 0x80:
+            return end
+        return (len(b),) if end + 2 <= len(b) and b[end] == 0xFF and b[end + 1] & 0xFC == 0xF8 else -1
 
-def _ogg(b: memoryview) -> int:
-    at, last = 0, False
-    while not last and at + 27 <= len(b) and bytes(b[at : at + 5]) == b"OggS\0":
-        n = b[at + 26]
-        last = bool(b[at + 5] & 4)
-        at += 27 + n + sum(b[at + 27 : at + 27 + n])
-    return at if last and at <= len(b) else 0
-
-
-def _flac(b: memoryview) -> int:
-    at, first = 4, True
-    while at + 4 <= len(b):
-        kind, size = b[at] & 0x7F, int.from_bytes(b[at + 1 : at + 4], "big")
-        if first and (kind, size) != (0, 34):
-            return 0
-        last, first = b[at] & 0x80, False
-        at += 4 + size
-        if last:
-            return len(b) if at + 2 <= len(b) and b[at] == 0xFF and b[at + 1] & 0xFC == 0xF8 else 0
-    return 0
+    return max(0, c.walk("flac", at + 4, step) - at)
 
 
-def _bmp(b: memoryview) -> int:
-    if len(b) < 54:
+def _bmp(c: Blob, at: int) -> int:
+    if len(c.raw) - at < 54:
         return 0
-    size, spare, at, head = struct.unpack_from("<IIII", b, 2)
-    return size if spare == 0 and 54 <= at <= size <= len(b) and head in (40, 108, 124) else 0
+    size, spare, first, head = struct.unpack_from("<IIII", c.raw, at + 2)
+    return size if spare == 0 and 54 <= first <= size <= len(c.raw) - at and head in (40, 108, 124) else 0
 
 
 VALID = {
@@ -175,18 +257,26 @@ def automaton():
 def sniff(blob: bytes) -> list[tuple[int, int, str]]:
     """Valid media in a blob as (offset, length, type), by offset.
 
-    Of media that hold each other all are listed; at one offset the longest.
+    Of media of different types that hold each other all are listed; at one offset the
+    longest.  What looks like a medium inside one of its own type is part of that.
+    Every hit is judged on the blob in place, and what hits have in common is looked
+    up once, so the time is in proportion to the blob and its hits.
     """
     best: dict[int, tuple[int, str]] = {}
-    view = memoryview(blob)
+    inside: dict[str, int] = {}
+    shared = Blob(blob)
+    # A hit begins where its magic does; magics are found by their ends.
     for end, (n, kind) in automaton().iter(blob.decode("latin-1")):
         at = end + 1 - n
+        if at < inside.get(kind, 0):
+            continue
         try:
-            size = VALID[kind](view[at:])
+            size = VALID[kind](shared, at)
         except (struct.error, IndexError):
             size = 0
         if size > best.get(at, (0, ""))[0]:
             best[at] = size, kind
+            inside[kind] = at + size
     return [(at, size, kind) for at, (size, kind) in sorted(best.items())]
 
 
@@ -240,7 +330,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         if cols[0]:
             yield flush()
 
-    return pick(df, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
+    return pick(df, doc_id=id_col, text=text_col).mapInArrow(tidily(run), "doc_id long, n_bytes long, declared string, media binary")
 
 
 def sniff_media(
@@ -301,4 +391,4 @@ def sniff_media(
         "doc_id long, declared string, type string, corrected boolean, payload binary, "
         "embedded array<struct<offset: long, length: long, type: string, media: binary>>, feature string"
     )
-    return rows_in.mapInArrow(run, T.StructType(out.fields + [rows_in.schema[k] for k in keep]))
+    return rows_in.mapInArrow(tidily(run), T.StructType(out.fields + [rows_in.schema[k] for k in keep]))

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import struct
+import time
 import zipfile
 import zlib
 from io import BytesIO
@@ -53,6 +54,17 @@ def test_random_bytes_do_not_fail():
             assert 0 < size <= len(blob) - at
 
 
+def test_many_magics_take_time_in_proportion():
+    """A blob of nothing but one format's magic, with and without an end that fits; both are quick."""
+    began = time.time()
+    for magic, kind in media.MAGIC.items():
+        assert media.sniff(magic * (4_000_000 // len(magic))) == []
+    whole = b"%PDF-" * 800_000 + b"startxref\n0\n%%EOF"
+    assert media.sniff(whole) == [(0, len(whole), "application/pdf")]
+    assert media.sniff(b"x" + zipped() + b"%PDF-" * 5 + PDF)[0] == (1, len(zipped()), "application/zip")
+    assert time.time() - began < 120
+
+
 def test_embedded_media_are_carved_and_types_corrected(spark):
     rows = [(1, "image/png", b"xx" + GIF + b"yy" + png(), "k"), (2, "IMAGE/GIF; q=1", GIF, "k"), (3, None, None, "k"), (4, "audio/wav", png(), "k"), (None, "text/plain", b"", "k"), (2, "IMAGE/GIF; q=1", GIF, "k")]
     frame = spark.createDataFrame(rows, "doc_id long, declared string, media binary, type string")
