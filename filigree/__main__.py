@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 from dataclasses import replace
 
@@ -39,7 +40,7 @@ def _options(command: str, rest: list[str]) -> argparse.Namespace:
         p.add_argument("--state", help="local folder of the stages' states")
         p.add_argument("--limit", type=int)
         p.add_argument("--batch-size", type=int)
-        for flag in ("--reset", "--force", "--dry-run"):
+        for flag in ("--reset", "--force", "--dry-run", "--resume"):
             p.add_argument(flag, action="store_true")
     return p.parse_args(rest)
 
@@ -81,10 +82,11 @@ def main(argv: list[str] | None = None) -> int:
     from filigree.plans import build, tools
 
     spark = SparkSession.builder.appName("filigree").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    settings = Settings().with_env()
+    settings = Settings.load()
+    logging.basicConfig(level=getattr(logging, settings.log_level.upper(), logging.INFO), format="%(asctime)s %(levelname)s [%(name)s] %(message)s", stream=sys.stderr)
     if getattr(o, "batch_size", None):
         settings = replace(settings, embed_batch_size=o.batch_size)
-    g = build.Graph(spark, o.root, settings, source=getattr(o, "source", None), limit=getattr(o, "limit", None))
+    g = build.Graph(spark, o.root, settings, source=getattr(o, "source", None), limit=getattr(o, "limit", None), resume=getattr(o, "resume", False))
     try:
         if command in TOOLS:
             answer = tools.as_json(_answer(g, command, o))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from filigree.settings import Settings
+
 
 def present(c: Column) -> Column:
     """The string, or null if it is empty."""
@@ -32,7 +34,7 @@ def first_argmax(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.array_position(a, F.array_max(a)).cast("int") - 1)
 
 
-def assign_sense(weights: Column, cosines: Column, threshold: float = 0.72) -> Column:
+def assign_sense(weights: Column, cosines: Column, threshold: float = Settings.disambig_threshold) -> Column:
     """Sense index: the largest weight if one is positive, else the nearest sense.
 
     cosines: similarity to each sense, null where no word is given.  The nearest

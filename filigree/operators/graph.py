@@ -167,10 +167,29 @@ def canonical_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: list[str], fraction: float, seed: int = 42) -> DataFrame:
-    """max(1, round half even(n fraction)) rows, drawn by a hash of key and seed."""
+    """max(1, round half even(n fraction)) rows, drawn by the MD5 of key and seed."""
     n = df.count()
     take = max(1, round(n * fraction)) if n else 0
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(take)
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))), *key).limit(take)
+
+
+def running_ratio(rows: DataFrame, order: str, value: Column) -> DataFrame:
+    """Rows with the mean of ``value`` over all rows up to each one by ``order`` (distinct).
+
+    Rows are cut into ranges of ``order``; a range's sum comes from its own rows and one
+    total for each range before it, so no task sees all rows.
+    """
+    from pyspark.sql import Window as W
+
+    ranged = settle(rows.withColumn("__v", value.cast("double")).repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    # One row for each partition.
+    totals = ranged.groupBy("__part").agg(F.sum("__v").alias("__s"), F.count("__v").alias("__c"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__s"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c"))
+    own = W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = ranged.join(F.broadcast(totals), "__part")
+    ratio = (F.col("__s") + F.sum("__v").over(own)) / (F.col("__c") + F.count("__v").over(own))
+    return out.withColumn("running", ratio).drop("__part", "__v", "__s", "__c")
 
 
 def recall(hits: DataFrame) -> DataFrame:

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from filigree.sources.tables import settle
 
-#: Live edges up to which the rest is done in one task.
+#: Live edges, or offers, up to which the rest is done in one task.
 TAIL_EDGES = 50_000
+#: Rounds of proposals after which the pairs served first are settled in one task.
+PROPOSAL_ROUNDS = 6
 
 
 def ordered_matching(edges: DataFrame, order: list[Column], *, tail: int = TAIL_EDGES) -> DataFrame:
@@ -137,6 +139,12 @@ def exclusive_assignment(candidates: DataFrame, more: Callable[[DataFrame, int],
     With ``more``, candidates are the nearest ``first`` bridges of each pair only:
     ``more(pairs, k)`` gives the nearest k bridges of the (pair, rank) rows whose list
     is used up; k grows until each pair holds a bridge or its list ends before k.
+
+    Rounds of proposals settle lists that differ.  Where many pairs want the same few
+    bridges a round settles one bridge alone; after ``PROPOSAL_ROUNDS`` of them, each
+    round also serves the first pairs by rank in one task, with as many offers as
+    ``TAIL_EDGES``.  Nobody behind a pair can take what it holds, so both give the same.
+    There are at most that many rounds and one for each such set of offers.
     """
     names = ("pair", "rank", "bridge", "cos")
     offers = settle(candidates.select(*names).distinct())
@@ -144,11 +152,14 @@ def exclusive_assignment(candidates: DataFrame, more: Callable[[DataFrame, int],
     # Pairs whose list holds every bridge there is.
     whole = lists.where(F.col("n") < first).select("pair")
     k = first
+    rounds = 0
     while True:
+        rounds += 1
         best = offers.groupBy("pair", "rank").agg(F.min(F.struct((-F.col("cos")).alias("far"), "bridge")).alias("b"))
         asked = best.select("pair", "rank", F.col("b.bridge").alias("bridge"), (-F.col("b.far")).alias("cos"))
         held = settle(asked.groupBy("bridge").agg(F.min(F.struct("rank", "pair", "cos")).alias("h"), F.count("*").alias("n")))
         if held.where("n > 1").isEmpty():
+            rounds = 0
             out = held.select(F.col("h.pair").alias("pair"), "bridge", F.col("h.cos").alias("cos"))
             if more is None:
                 return out
@@ -162,4 +173,32 @@ def exclusive_assignment(candidates: DataFrame, more: Callable[[DataFrame, int],
             offers = offers.unionByName(longer)
         # A bridge refuses everyone behind the one it holds, now and later.
         limit = held.select("bridge", F.col("h.rank").alias("top"))
+        if rounds > PROPOSAL_ROUNDS:
+            limit = limit.unionByName(_served_first(offers)).groupBy("bridge").agg(F.min("top").alias("top"))
         offers = settle(offers.join(limit, "bridge", "left").where("top IS NULL OR rank <= top").drop("top"))
+
+
+def _served_first(offers: DataFrame) -> DataFrame:
+    """bridge, top: what the first pairs by rank take one after another, in one task.
+
+    Looks at the first ``TAIL_EDGES`` offers by rank and falling cosine.  A pair whose
+    offers do not all fit takes the first free one of those that do, if there is any.
+    """
+    order = ["rank", F.desc("cos"), "bridge"]
+    first = offers.orderBy(*order).limit(TAIL_EDGES).coalesce(1).sortWithinPartitions(*order).select("pair", "bridge", "rank")
+
+    def run(batches):
+        import pyarrow as pa
+
+        used, served = set(), set()
+        for batch in batches:
+            keep = []
+            for pair, bridge in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                free = pair not in served and bridge not in used
+                if free:
+                    served.add(pair)
+                    used.add(bridge)
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return first.mapInArrow(run, first.schema).select("bridge", F.col("rank").alias("top"))

@@ -1,79 +1,153 @@
-"""Similarity joins on unit vectors by blocks of matrix products.
+"""Similarity joins on unit vectors by a grid of matrix products.
 
-Vectors are packed into blocks of bounded size.  A self-join pairs blocks by their
-numbers, a search pairs query blocks with corpus blocks; each pair of blocks is
-one matrix product in an Arrow kernel that applies the threshold or keeps the
-best of each row before anything leaves the worker.  Block pairs are dealt out
-by a shuffle, so nothing has to fit a broadcast.
+Vectors are drawn into super-blocks, and every pair of super-blocks is one task: it
+holds one side and streams the other past it, block by block, in an Arrow kernel that
+applies the threshold or keeps the best of each row before anything leaves the worker.
+A vector is shipped once for each super-block of the other side, so nothing has to fit
+a broadcast and a task's memory is one super-block and one block.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from filigree.sources.tables import settle
-
-#: Vectors of a block.
+#: Vectors that a task holds on average, and vectors that it multiplies at once.
+SUPER = 16_384
 BLOCK = 2048
+#: Streamed vectors whose products with all held ones are in memory.
+ROWS_AT_ONCE = 256
+#: Tasks of a grid; more cells take turns in them.
+MOST_TASKS = 100_000
+
+_FORM = "cell int, side int, id long, vector binary"
+
+
+def known(df: DataFrame) -> DataFrame:
+    """id (long), vector (doubles) of the rows that have a vector."""
+    return df.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+
 
+def _packed(df: DataFrame) -> DataFrame:
+    """Vectors as little-endian doubles."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def blocks(df: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """(block, ids, vectors) of id (long), vector rows; and the number of blocks.
+        for b in batches:
+            flat = np.asarray(b.column(1).flatten(), np.float64)
+            raw, n = flat.astype("<f8").tobytes(), b.num_rows
+            size = len(raw) // n if n else 0
+            yield pa.record_batch([b.column(0), pa.array([raw[i * size : (i + 1) * size] for i in range(n)], pa.binary())], names=["id", "vector"])
 
-    Rows without a vector are left out.  Blocks are drawn by a hash of the id.
+    return known(df).mapInArrow(run, "id long, vector binary")
+
+
+def _supers(n: int, size: int) -> int:
+    return max(1, math.ceil(n / size))
+
+
+def _draw(n: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+
+def _streamed(rows: DataFrame, cells: int, kernel, schema: str) -> DataFrame:
+    """Rows (cell, side, id, vector) through a kernel (cell, held, streamed) -> batch.
+
+    Held rows (side 0) come first; streamed is None for the held ones among themselves.
     """
-    rows = df.where("vector IS NOT NULL").select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    n = max(1, math.ceil(rows.count() / block))
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "vector")
+    tasks = min(cells, MOST_TASKS)
 
-    # A block is bounded by construction: its mean size is at most ``block`` rows.
-    return dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "vector"))).alias("rows")), n
+    def run(batches):
+        import numpy as np
 
+        now, parts, held, wait, waiting = -1, [], None, [], 0
+
+        def matrix(parts):
+            ids = np.concatenate([p[0] for p in parts])
+            order = np.argsort(ids, kind="stable")
+            return ids[order], np.concatenate([p[1] for p in parts])[order]
+
+        def flush():
+            nonlocal held, parts, wait, waiting
+            if held is None and parts:
+                held, parts = matrix(parts), []
+                out = kernel(now, held, None)
+                if out is not None and out.num_rows:
+                    yield out
+            if wait and held is not None:
+                ids, x = matrix(wait)
+                for a in range(0, len(ids), BLOCK):
+                    out = kernel(now, held, (ids[a : a + BLOCK], x[a : a + BLOCK]))
+                    if out is not None and out.num_rows:
+                        yield out
+            wait, waiting = [], 0
 
-def pairs_above(df: DataFrame, threshold: float, *, block: int = BLOCK) -> DataFrame:
+        for batch in batches:
+            cell, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(cell)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if a == b:
+                    continue
+                if cell[a] != now:
+                    yield from flush()
+                    now, parts, held = int(cell[a]), [], None
+                part = batch.slice(a, b - a)
+                ids = part.column(2).to_numpy()
+                x = np.frombuffer(b"".join(part.column(3).to_pylist()), "<f8").reshape(len(ids), -1)
+                if side[a] == 0:
+                    parts.append((ids, x))
+                else:
+                    wait.append((ids, x))
+                    waiting += len(ids)
+                    if waiting >= BLOCK:
+                        yield from flush()
+        yield from flush()
+
+    dealt = rows.repartitionById(tasks, F.pmod("cell", F.lit(tasks))).sortWithinPartitions("cell", "side")
+    return dealt.mapInArrow(run, schema)
+
+
+def pairs_above(df: DataFrame, threshold: float, *, block: int = SUPER) -> DataFrame:
     """All pairs i < j whose dot product reaches the threshold: i, j, cos.
 
-    df: id (long), vector (unit length).
+    df: id (long, distinct), vector (unit length); rows without a vector take no part.
+    block: vectors that a task holds on average.  An empty table gives no pair.
     """
-    made, n = blocks(df, block)
-    made = settle(made)
-    grid = df.sparkSession.range(n).select(F.col("id").cast("int").alias("a"), F.explode(F.sequence(F.col("id").cast("int"), F.lit(n - 1))).alias("b"))
-    work = (
-        grid.join(made.select(F.col("block").alias("a"), F.col("rows").alias("x")), "a")
-        .join(made.select(F.col("block").alias("b"), F.col("rows").alias("y")), "b").select("a", "b", "x", "y")
+    rows = _packed(df)
+    g = _supers(df.where("vector IS NOT NULL").count(), block)
+    # Super-block s is held where it is the row of a grid cell, and streams where it is
+    # the column; the grid is a triangle.
+    other = F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
+    dealt = rows.select("id", "vector", _draw(g).alias("s")).select("id", "vector", "s", other.alias("t"))
+    dealt = dealt.select(
+        (F.least("s", "t") * g + F.greatest("s", "t")).cast("int").alias("cell"), F.when(F.col("s") <= F.col("t"), 0).otherwise(1).alias("side"), "id", "vector",
     )
 
-    def run(batches):
+    def kernel(cell, held, streamed):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for r in range(batch.num_rows):
-                x, y = _row(batch.column(2), r), _row(batch.column(3), r)
-                near = x[1] @ y[1].T
-                at, to = np.nonzero(near >= threshold - 1e-9)
-                # The sum in one order decides, whatever the block.
-                cos = (x[1][at] * y[1][to]).sum(axis=1)
-                i, j = x[0][at], y[0][to]
-                same = batch.column(0)[r].as_py() == batch.column(1)[r].as_py()
-                keep = (cos >= threshold) & ((i < j) if same else (i != j))
-                i, j, cos = i[keep], j[keep], cos[keep]
-                yield pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(cos)], names=["i", "j", "cos"])
-
-    return work.mapInArrow(run, "i long, j long, cos double")
-
-
-def _row(column, r: int):
-    """Ids and matrix of one block: a list of structs of id and vector."""
-    import numpy as np
+        if streamed is None and cell // g != cell % g:
+            return None
+        out = ([], [], [])
+        for a in range(0, len(held[0]), BLOCK):
+            x = held[0][a : a + BLOCK], held[1][a : a + BLOCK]
+            y = streamed if streamed is not None else (held[0][a:], held[1][a:])
+            at, to = np.nonzero(x[1] @ y[1].T >= threshold - 1e-9)
+            # The sum in one order decides, whatever the block.
+            cos = (x[1][at] * y[1][to]).sum(axis=1)
+            i, j = x[0][at], y[0][to]
+            keep = (cos >= threshold) & ((i < j) if streamed is None else (i != j))
+            for o, v in zip(out, (np.minimum(i, j)[keep], np.maximum(i, j)[keep], cos[keep]), strict=True):
+                o.append(v)
+        return pa.record_batch([pa.array(np.concatenate(o)) for o in out], names=["i", "j", "cos"])
 
-    items = column[r].values
-    ids = np.asarray(items.field("id"))
-    return ids, np.asarray(items.field("vector").flatten(), np.float64).reshape(len(ids), -1)
+    return _streamed(dealt, g * g, kernel, "i long, j long, cos double")
 
 
 def top_pairs(df: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
@@ -81,44 +155,53 @@ def top_pairs(df: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
     return pairs_above(df, threshold).orderBy(F.desc("cos"), "i", "j").limit(k)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, *, block: int = BLOCK, skip_self: bool = False) -> DataFrame:
-    """The k corpus rows with the largest dot product for each query.
+def best_of(held, streamed, k: int, skip_self: bool):
+    """Arrow batch of the k held rows with the largest product for each streamed row."""
+    import numpy as np
+    import pyarrow as pa
+
+    out = ([], [], [])
+    for a in range(0, len(streamed[0]), ROWS_AT_ONCE):
+        owns, x = streamed[0][a : a + ROWS_AT_ONCE], streamed[1][a : a + ROWS_AT_ONCE]
+        near = x @ held[1].T
+        n = min(len(held[0]), k + 1)
+        least = np.partition(near, -n, axis=1)[:, -n] - 1e-9
+        for row, own in enumerate(owns):
+            at = np.flatnonzero(near[row] >= least[row])
+            cos = (held[1][at] * x[row]).sum(axis=1)
+            if skip_self:
+                at, cos = at[held[0][at] != own], cos[held[0][at] != own]
+            best = np.lexsort((held[0][at], -cos))[:k]
+            out[0].append(np.full(len(best), own))
+            out[1].append(held[0][at][best])
+            out[2].append(cos[best])
+    return pa.record_batch([pa.array(np.concatenate(o)) for o in out], names=["query_id", "id", "cos"])
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, ties to the smaller id."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cos"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
 
-    queries, corpus: id (long), vector.  Returns query_id, id, cos, rank (from 1);
-    ties go to the smaller id.
+def search(queries: DataFrame, corpus: DataFrame, k: int, *, block: int = SUPER, skip_self: bool = False) -> DataFrame:
+    """The k corpus rows with the largest dot product for each query, by an exact scan.
+
+    queries, corpus: id (long, distinct), vector; rows without a vector take no part.
+    Returns query_id, id, cos, rank (from 1); ties go to the smaller id.  Without
+    queries or corpus there is no row.
     """
-    q, nq = blocks(queries, block)
-    c, nc = blocks(corpus, block)
-    grid = queries.sparkSession.range(nq).select(F.col("id").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("b"))
-    work = (
-        grid.join(q.select(F.col("block").alias("a"), F.col("rows").alias("x")), "a")
-        .join(c.select(F.col("block").alias("b"), F.col("rows").alias("y")), "b").select("x", "y")
-    )
+    gc = _supers(corpus.where("vector IS NOT NULL").count(), block)
+    gq = _supers(queries.where("vector IS NOT NULL").count(), 8 * block)
+    # The corpus is held, super-block by super-block; queries stream past all of it.
+    c = _packed(corpus).withColumn("y", _draw(gc)).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(gq - 1)))).withColumn("side", F.lit(0))
+    q = _packed(queries).withColumn("x", _draw(gq)).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(gc - 1)))).withColumn("side", F.lit(1))
+    rows = c.unionByName(q).select((F.col("x") * gc + F.col("y")).cast("int").alias("cell"), "side", "id", "vector")
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+    def kernel(cell, held, streamed):
+        return None if streamed is None else best_of(held, streamed, k, skip_self)
 
-        for batch in batches:
-            for r in range(batch.num_rows):
-                x, y = _row(batch.column(0), r), _row(batch.column(1), r)
-                near = x[1] @ y[1].T
-                out = ([], [], [])
-                for row, own in enumerate(x[0]):
-                    n = min(len(y[0]), k + 1)
-                    least = np.partition(near[row], -n)[-n] - 1e-9
-                    at = np.flatnonzero(near[row] >= least)
-                    cos = (y[1][at] * x[1][row]).sum(axis=1)
-                    at, cos = (at[y[0][at] != own], cos[y[0][at] != own]) if skip_self else (at, cos)
-                    best = np.lexsort((y[0][at], -cos))[:k]
-                    out[0].append(np.full(len(best), own))
-                    out[1].append(y[0][at][best])
-                    out[2].append(cos[best])
-                yield pa.record_batch([pa.array(np.concatenate(o)) for o in out], names=["query_id", "id", "cos"])
-
-    found = work.mapInArrow(run, "query_id long, id long, cos double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cos"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked(_streamed(rows, gc * gq, kernel, "query_id long, id long, cos double"), k)
 
 
 def knn_pairs(df: DataFrame, k: int = 20, min_score: float = -1.0) -> DataFrame:

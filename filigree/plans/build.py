@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from filigree.functions import text as X
 from filigree.functions import vectors as V
 from filigree.operators import embed, graph, matching, parse, similarity
-from filigree.plans.manifest import Manifest, StageError
+from filigree.plans.manifest import Manifest, StageError, State
 from filigree.settings import Settings
 from filigree.sources.tables import keep_last, read_jsonl, settle, write_table
 
@@ -54,13 +54,21 @@ def shaped(df: DataFrame, schema: str) -> DataFrame:
 class Graph:
     """Tables under a folder that all executors reach."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), *, embedder: embed.Embedder | None = None, source: str | None = None, limit: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), *, embedder: embed.Embedder | None = None, source: str | None = None, limit: int | None = None, resume: bool = False):
         self.spark, self.root, self.settings, self.source, self.limit = spark, root, settings, source, limit
+        #: Whether stages go on from what their tables hold; the last line that parse took.
+        self.resume, self.after = resume, -1
         self.embedder = embedder or (embed.fake_embedder(settings.embed_dim) if settings.fake_embed else embed.http_embedder(settings.embed_url, settings.embed_model))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
+    def has(self, name: str) -> bool:
+        """Whether a table was written whole."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
@@ -72,13 +80,22 @@ Tables = dict[str, DataFrame]
 
 
 def parsed(g: Graph) -> Tables:
-    """Words and senses of the source's records, the first ``limit`` lines at most."""
+    """Words and senses of the source's records, the first ``limit`` lines at most.
+
+    When resumed, of the lines behind the last one taken, beside what the tables hold.
+    """
     if g.source is None:
         raise StageError("parse needs a source")
-    raw = read_jsonl(g.spark, g.source, parse.RECORD)
+    raw = read_jsonl(g.spark, g.source, parse.RECORD).where(F.col("line") > g.after)
     if g.limit is not None:
         raw = raw.orderBy("line").limit(g.limit)
-    return {"words": parse.words(raw), "senses": parse.senses(raw)}
+    raw = settle(raw)
+    last = raw.agg(F.max("line")).first()[0]
+    made = {"words": parse.words(raw), "senses": parse.senses(raw)}
+    if g.resume and g.has("words") and g.has("senses"):
+        made = {name: settle(g.read(name).unionByName(df)) for name, df in made.items()}
+    g.after = g.after if last is None else last
+    return made
 
 
 def embedded(g: Graph) -> Tables:
@@ -147,36 +164,58 @@ def _sense_pairs(g: Graph, senses: DataFrame) -> DataFrame:
 
 
 def sense_edges(g: Graph) -> Tables:
-    """Edges of matched senses, then one from each lone sense to its nearest such edge."""
+    """Edges of matched senses, then one from each lone sense to its nearest such edge.
+
+    When resumed with edges there, matching is left out: senses without a parent join them.
+    """
     s = g.settings
     senses = g.read("sense_nodes").select("id", "word", "pos", V.normalize(F.col("vector")).alias("vector"))
+    if g.resume and g.has("sense_edges") and g.has("sense_parents"):
+        main, up = settle(g.read("sense_edges")), settle(g.read("sense_parents"))
+        extra = _sense_reentry(g, senses, main, up)
+        return {"sense_edges": settle(main.unionByName(extra)), "sense_parents": settle(up.unionByName(_parents(extra, "cm1_id")))}
     equal = settle(_equal_pairs(senses, s.q_min_l15))
     rest = senses.join(equal.select(F.explode(F.array("i", "j")).alias("id")), "id", "left_anti")
     matched = matching.greedy_match(_sense_pairs(g, rest), s.q_min_l15, same_word=F.col("same"), polysemy_floor=s.polysemy_q_floor)
     matched = settle(equal.unionByName(matched))
-    around = _neighbourhoods(g)
-    known = senses.join(around, ["word", "pos"], "left")
-    none = F.array().cast("array<string>")
-
-    def side(key: str, n: int) -> DataFrame:
-        return known.select(F.col("id").alias(key), F.col("vector").alias(f"v{n}"), F.col("word").alias(f"w{n}"), F.coalesce("ants", none).alias(f"a{n}"), F.coalesce("syns", none).alias(f"s{n}"))
-
+    side = _sides(g, senses)
     both = matched.join(side("i", 1), "i").join(side("j", 2), "j")
     both = both.withColumn("text", X.type_text(*[F.col(c) for c in ("w1", "a1", "s1", "w2", "a2", "s2")]))
     typed = g.embed(both.select("i", "j", "q", "v1", "v2", "text"), "text", "type_vector")
-    vector = V.edge_vector(F.col("v1"), F.col("v2"), F.col("type_vector"), F.col("q")).alias("vector")
-    main = typed.select(F.col("i").alias("cm1_id"), F.col("j").alias("cm2_id"), "q", "type_vector", vector, F.lit("inferred").alias("source"), F.lit(1.0).alias("confidence"))
+    main = typed.select(F.col("i").alias("cm1_id"), F.col("j").alias("cm2_id"), "q", "type_vector", _made(), F.lit("inferred").alias("source"), F.lit(1.0).alias("confidence"))
     main = settle(_edges(main, SENSE_LEVEL))
     up = _parents(main, "cm1_id", "cm2_id")
+    extra = _sense_reentry(g, senses, main, up)
+    return {"sense_edges": main.unionByName(extra), "sense_parents": up.unionByName(_parents(extra, "cm1_id"))}
+
+
+def _sides(g: Graph, senses: DataFrame) -> Callable[[str, int], DataFrame]:
+    """Senses with their words' neighbourhoods, named for either end of an edge."""
+    known = senses.join(_neighbourhoods(g), ["word", "pos"], "left")
+    none = F.array().cast("array<string>")
+
+    def side(key: str, n: int) -> DataFrame:
+        return known.select(F.col("id").alias(key), F.col("vector").alias(f"v{n}"), F.col("word").alias(f"w{n}"), F.coalesce("ants", none).alias(f"a{n}"), F.coalesce("syns", none).alias(f"s{n}"))
+
+    return side
+
+
+def _sense_reentry(g: Graph, senses: DataFrame, main: DataFrame, up: DataFrame) -> DataFrame:
+    """An edge from each sense without a parent to its nearest edge."""
+    none = F.array().cast("array<string>")
     lone = graph.orphans(senses.select("id", "vector"), up)
     near = similarity.nearest(lone, main.select("id", "vector"))
     ends = main.select("id", F.col("vector").alias("v2"), "q")
-    rows = near.join(side("query_id", 1), "query_id").join(ends, "id")
+    rows = near.join(_sides(g, senses)("query_id", 1), "query_id").join(ends, "id")
     rows = rows.withColumn("text", X.type_text(F.col("w1"), F.col("a1"), F.col("s1"), F.col("w1"), none, none))
     typed = g.embed(rows.select("query_id", "id", "q", "v1", "v2", "text"), "text", "type_vector")
-    extra = typed.select(F.col("query_id").alias("cm1_id"), F.col("id").alias("cm2_id"), "q", "type_vector", vector, F.lit("inferred").alias("source"), F.col("q").alias("confidence"))
-    extra = settle(_edges(extra, SENSE_LEVEL))
-    return {"sense_edges": main.unionByName(extra), "sense_parents": up.unionByName(_parents(extra, "cm1_id"))}
+    extra = typed.select(F.col("query_id").alias("cm1_id"), F.col("id").alias("cm2_id"), "q", "type_vector", _made(), F.lit("inferred").alias("source"), F.col("q").alias("confidence"))
+    return settle(_edges(extra, SENSE_LEVEL))
+
+
+def _made() -> Column:
+    """The vector of an edge from v1, v2, type_vector and q."""
+    return V.edge_vector(F.col("v1"), F.col("v2"), F.col("type_vector"), F.col("q")).alias("vector")
 
 
 def word_vectors(g: Graph) -> Tables:
@@ -263,13 +302,22 @@ WORK: dict[str, Callable[[Graph], Tables]] = {
 }
 
 
+#: Stages whose edges would be there twice if another run's were still in use.
+GUARDED = {"sense_edges": "sense_edges", "word_edges": "word_edges", "reentry": "reentry_edges", "triads": "triad_edges"}
+
+
 def run_stage(g: Graph, manifest: Manifest, stage: str, *, reset: bool = False, force: bool = False, dry_run: bool = False) -> int:
     """Run one stage under the manifest's guards; a dry run writes no table.
 
-    Returns the rows of its first table.  Raises StageError if ids repeat.
+    Returns the rows of its first table.  Raises StageError if ids repeat, and if a stage
+    that is not done has edges of an earlier run, unless it is reset, forced or resumed.
     """
+    if stage == "parse" and g.resume and g.has("words"):
+        g.after = int(manifest.load("parse").last_id or -1)
 
     def work() -> int:
+        if stage in GUARDED and not (reset or force or dry_run or g.resume) and g.has(GUARDED[stage]):
+            raise StageError(f"{stage}: {GUARDED[stage]} is there already; reset or force the stage")
         made = WORK[stage](g)
         n = 0
         for at, (name, df) in enumerate(made.items()):
@@ -280,9 +328,11 @@ def run_stage(g: Graph, manifest: Manifest, stage: str, *, reset: bool = False,
                 n = df.count()
             if name in ("sense_nodes", "edges") and not df.groupBy("id").count().where("count > 1").isEmpty():
                 raise StageError(f"{name}: ids repeat")
+        if stage == "parse" and not dry_run:
+            manifest.save(State("parse", last_id=str(g.after), processed=n))
         return n
 
-    return manifest.run(stage, work, reset=reset, force=force, dry_run=dry_run)
+    return manifest.run(stage, work, reset=reset, force=force, again=g.resume, dry_run=dry_run)
 
 
 def build(g: Graph, manifest: Manifest) -> dict[str, int]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
@@ -12,6 +13,9 @@ from pathlib import Path
 STAGES = ("parse", "embed", "nodes", "sense_edges", "word_vectors", "word_edges", "reentry", "triads", "index")
 
 
+log = logging.getLogger("filigree.stages")
+
+
 class StageError(RuntimeError):
     """A stage may not run now."""
 
@@ -59,22 +63,28 @@ class Manifest:
     def is_done(self, stage: str) -> bool:
         return self.load(stage).done
 
-    def run(self, stage: str, work: Callable[[], int], *, reset: bool = False, force: bool = False, dry_run: bool = False) -> int:
+    def run(self, stage: str, work: Callable[[], int], *, reset: bool = False, force: bool = False, again: bool = False, dry_run: bool = False) -> int:
         """Run a stage whose predecessors are done, and record it as done.
 
-        A done stage runs again only after a reset or by force; a dry run records
-        nothing.
+        A done stage runs again only after a reset or by force; force also lets a stage
+        run whose predecessors are not done, with a warning.  ``again`` lets a done stage
+        go on from its tables.  A dry run records nothing.
         """
         self._path(stage)
         before = self.stages[: self.stages.index(stage)]
         if missing := [s for s in before if not self.is_done(s)]:
-            raise StageError(f"{stage} needs {', '.join(missing)} first")
+            if not force:
+                raise StageError(f"{stage} needs {', '.join(missing)} first")
+            log.warning("%s runs by force though %s are not done", stage, ", ".join(missing))
         if reset:
             self.reset(stage)
-        if self.is_done(stage) and not force:
+        if self.is_done(stage) and not (force or again):
             raise StageError(f"{stage} is done")
+        log.info("%s begins", stage)
         n = work()
         if not dry_run:
             now = datetime.now(timezone.utc).isoformat()
-            self.save(State(stage, processed=n, total=n, done=True, completed_at=now))
+            # The work may have noted how far it came.
+            self.save(replace(self.load(stage), processed=n, total=n, done=True, completed_at=now))
+        log.info("%s is done: %d rows", stage, n)
         return n

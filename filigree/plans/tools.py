@@ -75,9 +75,9 @@ def semantic_search(g: Graph, query: str, doc_type: str = "baryedge", top_k: int
         raise ValueError(f"no documents of type {doc_type!r}")
     rows = g.read("edges" if doc_type == "baryedge" else "nodes").where("vector IS NOT NULL")
     rows = rows if where is None else rows.where(where)
-    asked = [float(x) for x in g.embedder([query])[0]]
-    cos = V.cosine(F.col("vector"), F.array(*[F.lit(x) for x in asked]))
-    best = rows.withColumn("cos", cos).orderBy(F.desc("cos"), "id").limit(top_k)
+    # The one row of the question is joined, so that the plan holds no literal vector.
+    rows = rows.join(F.broadcast(_asked(g, query)))
+    best = rows.withColumn("cos", V.cosine(F.col("vector"), F.col("asked"))).drop("asked").orderBy(F.desc("cos"), "id").limit(top_k)
     score = F.round((F.lit(1.0) + F.col("cos")) / 2, 4).alias("score")
     if doc_type == "node":
         return best.select("id", score, "level", "node_type", "word", F.coalesce(X.clipped(F.col("gloss"), 100), F.lit("")).alias("gloss"), "cos").orderBy(F.desc("cos"), "id")
@@ -86,6 +86,30 @@ def semantic_search(g: Graph, query: str, doc_type: str = "baryedge", top_k: int
     return hits.select("id", score, "level", "edge_type", _words().alias("cm_words"), F.col("weight").alias("accumulated_weight"), "cos").orderBy(F.desc("cos"), "id")
 
 
+def search_with_parents(g: Graph, query: str, top_k: int = 10) -> DataFrame:
+    """Nodes and edges nearest to a text in one list, with the ends of the edge they belong to.
+
+    An edge belongs to itself, a node to its parent; a node without one has null ends.
+    Ties go to the smaller id.  Ends without a label show their id.
+    """
+    asked = settle(_asked(g, query))
+    cos = V.cosine(F.col("vector"), F.col("asked"))
+    nodes = g.read("nodes").where("vector IS NOT NULL").select("id", F.lit("node").alias("doc_type"), "word", F.col("parent_id").alias("edge_id"), "vector")
+    edges = g.read("edges").where("vector IS NOT NULL").select("id", F.lit("baryedge").alias("doc_type"), F.lit(None).cast("string").alias("word"), F.col("id").alias("edge_id"), "vector")
+    best = nodes.unionByName(edges).join(F.broadcast(asked)).withColumn("cos", cos).drop("vector", "asked").orderBy(F.desc("cos"), "id").limit(top_k)
+    rows = settle(best).join(g.read("edges").select(F.col("id").alias("edge_id"), "cm1_id", "cm2_id"), "edge_id", "left")
+    for end in ("cm1", "cm2"):
+        labels = g.read("nodes").select(F.col("id").alias(f"{end}_id"), F.col("label").alias(end))
+        rows = rows.join(labels, f"{end}_id", "left").withColumn(end, F.coalesce(end, F.col(f"{end}_id").cast("string")))
+    score = F.round((F.lit(1.0) + F.col("cos")) / 2, 4).alias("score")
+    return rows.select("id", "doc_type", score, "word", "edge_id", "cm1", "cm2", "cos").orderBy(F.desc("cos"), "id")
+
+
+def _asked(g: Graph, query: str) -> DataFrame:
+    """One row: the text's vector."""
+    return g.spark.createDataFrame([([float(x) for x in g.embedder([query])[0]],)], "asked array<double>")
+
+
 def graph_stats(g: Graph) -> DataFrame:
     """Counts by kind of document, and the total in the row without a kind."""
     nodes = g.read("nodes").select(F.lit("node").alias("doc_type"), "level", "node_type", F.lit(None).cast("string").alias("edge_type"))

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from filigree.functions import text as X
 from filigree.functions import vectors as V
-from filigree.operators import graph, matching, similarity
+from filigree.operators import graph, matching, similarity, vector_index
 from filigree.settings import Q_SEEDS
-from filigree.sources.tables import keep_last, table
+from filigree.sources.tables import keep_last, settle, table, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,10 +78,10 @@ def bary_vector(spark, d):
     return made.select("id", F.posexplode("v").alias("place", "x")).select("id", "place", F.round("x", 5).alias("x"))
 
 
-@query("SELECT CAST(l AS BIGINT) AS level, round(1 + 0.5::DOUBLE * (14 - l) / 13, 6) AS factor, round(1 + 0::DOUBLE * (14 - l) / 13, 6) AS flat FROM range(1, 14) t(l)")
+@query("SELECT p_partkey AS id, round(1 + 0.5::DOUBLE * (14 - (1 + p_partkey % 13)) / 13, 6) AS factor, round(1 + 0::DOUBLE * (14 - (1 + p_partkey % 13)) / 13, 6) AS flat FROM part")
 def level_factor(spark, d):
-    rows = spark.range(1, 14).withColumnRenamed("id", "level")
-    return rows.select("level", F.round(V.level_factor(F.col("level")), 6).alias("factor"), F.round(V.level_factor(F.col("level"), 0.0), 6).alias("flat"))
+    rows = table(spark, d, "part").selectExpr("p_partkey AS id", "1 + p_partkey % 13 AS level")
+    return rows.select("id", F.round(V.level_factor(F.col("level")), 6).alias("factor"), F.round(V.level_factor(F.col("level"), 0.0), 6).alias("flat"))
 
 
 @query("""SELECT event_id, round(CASE WHEN sqrt(w1 * w1 * w1 * w1 + w2 * w2 * w2 * w2 + w3 * w3 * w3 * w3) > 0
@@ -103,12 +103,12 @@ def pairs_topk(spark, d):
     return similarity.top_pairs(nodes(spark, d), 50, NEAR).select("i", "j", F.round("cos", 6).alias("cos"))
 
 
-@query(f"""WITH {E}, s AS (SELECT a.id AS query_id, b.id AS id, list_dot_product(a.v, b.v) AS cos FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 10 = 0),
+@query(f"""WITH {E}, s AS (SELECT a.id AS query_id, b.id AS id, list_dot_product(a.v, b.v) AS cos FROM e a JOIN e b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS rank FROM s)
 SELECT query_id, id, round(cos, 6) AS cos, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def knn_join(spark, d):
     n = nodes(spark, d)
-    found = similarity.search(n.where("id % 10 = 0"), n, 5, skip_self=True)
+    found = similarity.search(n, n, 5, skip_self=True)
     return found.select("query_id", "id", F.round("cos", 6).alias("cos"), "rank")
 
 
@@ -163,12 +163,13 @@ def _relations(spark, d):
     """Three relations a node: kind and target follow from its id."""
     ids = nodes(spark, d).select("id")
     rel = ids.select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ord"))
-    rel = rel.select("i", "ord", F.expr("(i * 7 + ord * 11 + 3) % 211").alias("j"), F.expr("CAST((i + ord) % 6 + 1 AS INT)").alias("tier"))
+    n = 1 + (ids.agg(F.max("id")).first()[0] or 0)
+    rel = rel.select("i", "ord", F.expr(f"(i * 7 + ord * 11 + 3) % {n}").alias("j"), F.expr("CAST((i + ord) % 6 + 1 AS INT)").alias("tier"))
     return rel.join(ids.toDF("j"), "j", "left_semi").where("i <> j")
 
 
 @query(
-    """WITH RECURSIVE t AS (SELECT vec_id AS i, o AS ord, (vec_id * 7 + o * 11 + 3) % 211 AS j, CAST((vec_id + o) % 6 + 1 AS INTEGER) AS tier FROM embeddings, range(3) r(o)),
+    """WITH RECURSIVE t AS (SELECT vec_id AS i, o AS ord, (vec_id * 7 + o * 11 + 3) % (1 + (SELECT max(vec_id) FROM embeddings)) AS j, CAST((vec_id + o) % 6 + 1 AS INTEGER) AS tier FROM embeddings, range(3) r(o)),
 u AS (SELECT t.* FROM t JOIN embeddings e ON e.vec_id = t.j WHERE i <> j), """
     + greedy_sql(
         "u",
@@ -180,39 +181,109 @@ def tiered_match(spark, d):
     return matching.tiered_match(_relations(spark, d), Q_SEEDS)
 
 
-@query(f"""WITH {E}, s AS (SELECT a.id AS cm1_id, a.v AS v1, b.id AS cm2_id, b.v AS v2, list_dot_product(a.v, b.v) AS cos FROM e a JOIN e b ON a.id % 4 = 1 AND b.id % 4 = 0),
+#: Greedy matching of the near pairs, as a table ``m`` (i, j, cos) of a recursive statement.
+MATCHED = f"{E}, {PAIRS}, " + greedy_sql("p", "cos DESC", "i, j, cos").replace("SELECT i, j, cos FROM o", ", m AS (SELECT i, j, cos FROM o") + ")"
+#: The matched pairs' ends, and what no pair has.
+PAIRED = "taken AS (SELECT i AS id FROM m UNION ALL SELECT j FROM m), lonely AS (SELECT id, v, label FROM e WHERE id NOT IN (SELECT id FROM taken))"
+
+
+def _matched(n: DataFrame) -> DataFrame:
+    """i, j, q, v1, v2 of matched nodes."""
+    pairs = matching.greedy_match(similarity.pairs_above(n, NEAR), NEAR)
+    a, b = n.select(F.col("id").alias("i"), F.col("vector").alias("v1")), n.select(F.col("id").alias("j"), F.col("vector").alias("v2"))
+    return settle(pairs.join(a, "i").join(b, "j"))
+
+
+def _parented(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("i", "j")).alias("child_id"), F.col("i").alias("parent_id"))
+
+
+@query(f"WITH RECURSIVE {MATCHED}, {PAIRED} SELECT id, label FROM lonely")
+def orphans(spark, d):
+    """Nodes that no matched pair has."""
+    n = nodes(spark, d)
+    return graph.orphans(n, _parented(_matched(n))).select("id", "label")
+
+
+@query(f"WITH RECURSIVE {MATCHED}, {PAIRED} SELECT e.id AS id, e.label AS label, m.i AS parent_id FROM e JOIN m ON e.id IN (m.i, m.j)")
+def parented(spark, d):
+    """Nodes that a matched pair has, with the pair's edge."""
+    n = nodes(spark, d)
+    up = _parented(_matched(n))
+    return n.join(up, n["id"] == up["child_id"]).select("id", "label", "parent_id")
+
+
+@query(f"""WITH RECURSIVE {MATCHED}, {PAIRED},
+c AS (SELECT m.i AS id, m.cos AS q, {zipped('a.v', 'b.v', 't[1] + t[2]')} AS raw FROM m JOIN e a ON a.id = m.i JOIN e b ON b.id = m.j),
+u AS (SELECT id, q, {unit('raw')} AS v FROM c),
+s AS (SELECT l.id AS cm1_id, l.v AS v1, u.id AS cm2_id, u.v AS v2, u.q AS q, list_dot_product(l.v, u.v) AS cos FROM lonely l, u),
 r AS (SELECT *, row_number() OVER (PARTITION BY cm1_id ORDER BY cos DESC, cm2_id) AS rank FROM s),
-w AS (SELECT cm1_id, cm2_id, {zipped('v1', 'v2', '0.6::DOUBLE * t[1] + t[2]')} AS raw FROM r WHERE rank = 1)
-SELECT cm1_id, cm2_id, 0.6::DOUBLE AS q, round(raw[1] / sqrt(list_dot_product(raw, raw)), 5) AS first_x FROM w""")
+w AS (SELECT cm1_id, cm2_id, q, list_transform(list_zip(v1, v2), lambda t: q * t[1] + t[2]) AS raw FROM r WHERE rank = 1)
+SELECT cm1_id, cm2_id, round(q, 6) AS q, round(raw[1] / sqrt(list_dot_product(raw, raw)), 5) AS first_x FROM w""")
 def orphan_reentry(spark, d):
-    """Nodes without a parent join their nearest edge; nodes stand for edges here."""
+    """All nodes that matching left over join the nearest edge of a matched pair."""
     n = nodes(spark, d)
-    edges = n.where("id % 4 = 0").select("id", "vector", F.lit(0.6).alias("q"), F.col("vector").alias("type_vector"))
-    made = graph.reentry_edges(n.where("id % 4 = 1").select("id", "vector"), edges)
-    return made.select("cm1_id", "cm2_id", "q", F.round(F.get("vector", F.lit(0)), 5).alias("first_x"))
+    pairs = _matched(n)
+    middle = V.centroid(F.col("v1"), F.col("v2"))
+    edges = pairs.select(F.col("i").alias("id"), middle.alias("vector"), "q", middle.alias("type_vector"))
+    made = graph.reentry_edges(graph.orphans(n, _parented(pairs)).select("id", "vector"), edges)
+    return made.select("cm1_id", "cm2_id", F.round("q", 6).alias("q"), F.round(F.get("vector", F.lit(0)), 5).alias("first_x"))
+
+
+def _assigned_sql(pairs: str, bridges: str) -> str:
+    """Pairs (i, cos, mid, ...) take their nearest free bridge (id, v) by falling cos, one a step."""
+    return f"""k AS (SELECT i, mid, row_number() OVER (ORDER BY cos DESC, i) AS n FROM {pairs}),
+off AS (SELECT k.n, k.i AS pair, b.id AS bridge, list_dot_product(k.mid, b.v) AS near FROM k, {bridges} b),
+a(n, used, pair, bridge, near) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT n, list_append(used, bridge), pair, bridge, near FROM (
+    SELECT off.n AS n, a.used, off.pair, off.bridge, off.near, row_number() OVER (ORDER BY off.near DESC, off.bridge) AS r
+    FROM a JOIN off ON off.n = a.n + 1 WHERE NOT list_contains(a.used, off.bridge)) WHERE r = 1)"""
 
 
-@query("""WITH RECURSIVE pairs AS (SELECT CAST(p AS BIGINT) AS pair FROM range(1, 31) t(p)), bridges AS (SELECT CAST(b AS BIGINT) AS bridge FROM range(1, 41) t(b)),
-c AS (SELECT pair, bridge, CAST((pair * bridge * 37 + bridge * 11) % 53 AS DOUBLE) / 53 AS cos FROM pairs, bridges),
-g(pair, used, bridge, cos) AS (
-  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(0 AS DOUBLE)
-  UNION ALL
-  SELECT pair, list_append(used, bridge), bridge, cos FROM (
-    SELECT c.pair, g.used, c.bridge, c.cos, row_number() OVER (ORDER BY c.cos DESC, c.bridge) AS n
-    FROM g JOIN c ON c.pair = g.pair + 1 WHERE NOT list_contains(g.used, c.bridge)) WHERE n = 1)
-SELECT pair, bridge, round(cos, 6) AS cos FROM g WHERE pair > 0""")
+@query(f"""WITH RECURSIVE {MATCHED}, {PAIRED},
+c AS (SELECT m.i, m.cos, {zipped('x.v', 'y.v', 't[1] + t[2]')} AS raw FROM m JOIN e x ON x.id = m.i JOIN e y ON y.id = m.j),
+mids AS (SELECT i, cos, {unit('raw')} AS mid FROM c), {_assigned_sql('mids', 'lonely')}
+SELECT pair, bridge, round(near, 6) AS cos FROM a WHERE n > 0""")
 def bridge_assignment(spark, d):
-    pairs, bridges = spark.range(1, 31).toDF("pair"), spark.range(1, 41).toDF("bridge")
-    offers = pairs.crossJoin(bridges).withColumn("cos", F.expr("CAST((pair * bridge * 37 + bridge * 11) % 53 AS DOUBLE) / 53"))
-    return matching.exclusive_assignment(offers.withColumn("rank", F.col("pair"))).select("pair", "bridge", F.round("cos", 6).alias("cos"))
+    """Matched pairs take unmatched nodes as bridges; lists of offers grow where they have to."""
+    n = nodes(spark, d)
+    pairs = _matched(n)
+    bridges = graph.orphans(n, _parented(pairs)).select("id", "vector")
+    asking = pairs.select(F.col("i").alias("pair"), F.struct((-F.col("q")).alias("far"), "i").alias("rank"), V.centroid(F.col("v1"), F.col("v2")).alias("vector"))
+
+    def offer(some: DataFrame, k: int) -> DataFrame:
+        asked = asking.join(some.select("pair"), "pair", "left_semi")
+        near = similarity.search(asked.select(F.col("pair").alias("id"), "vector"), bridges, k)
+        return near.select(F.col("query_id").alias("pair"), F.col("id").alias("bridge"), "cos").join(asked.select("pair", "rank"), "pair")
+
+    return matching.exclusive_assignment(offer(asking, 4), offer, first=4).select("pair", "bridge", F.round("cos", 6).alias("cos"))
+
 
+_HALF = "h AS (SELECT id, v, label, 0.5::DOUBLE + CAST(id % 5 AS DOUBLE) / 10 AS w FROM e)"
 
-@query()
+
+@query(
+    f"""WITH RECURSIVE {E}, {_HALF},
+p AS (SELECT a.id AS i, b.id AS j, list_dot_product(a.v, b.v) AS cos FROM e a JOIN e b ON a.id < b.id AND a.id % 2 = 1 AND b.id % 2 = 1 WHERE list_dot_product(a.v, b.v) >= 0.38), """
+    + greedy_sql("p", "cos DESC", "i, j, cos").replace("SELECT i, j, cos FROM o", ", m AS (SELECT i, j, cos FROM o")
+    + f"""), even AS (SELECT id, v FROM e WHERE id % 2 = 0),
+c AS (SELECT m.i, m.cos, {zipped('x.v', 'y.v', 't[1] + t[2]')} AS raw FROM m JOIN e x ON x.id = m.i JOIN e y ON y.id = m.j),
+mids AS (SELECT i, cos, {unit('raw')} AS mid FROM c), {_assigned_sql('mids', 'even')},
+t AS (SELECT m.i AS cm1_id, m.j AS cm2_id, a.bridge AS bridge_id, x.w AS w1, y.w AS w2, z.w AS w3,
+        {zipped(zipped('x.v', 'y.v', 'x.w * t[1] + y.w * t[2]'), 'z.v', 't[1] + z.w * t[2]')} AS raw
+      FROM a JOIN m ON m.i = a.pair JOIN h x ON x.id = m.i JOIN h y ON y.id = m.j JOIN h z ON z.id = a.bridge WHERE a.n > 0),
+g2 AS (SELECT *, w3 * w3 / sqrt(w1 * w1 * w1 * w1 + w2 * w2 * w2 * w2 + w3 * w3 * w3 * w3) AS strength FROM t)
+SELECT cm1_id, cm2_id, bridge_id, 13 AS level, round(strength, 6) AS strength, round(strength * (1 + 0.5::DOUBLE / 13), 6) AS weight,
+       round(raw[1] / sqrt(list_dot_product(raw, raw)), 5) AS first_x FROM g2"""
+)
 def metabary_level(spark, d):
     """Triads of level 13: odd nodes as children, even ones as bridges."""
     n = nodes(spark, d).withColumn("weight", F.lit(0.5) + F.pmod(F.col("id"), F.lit(5)) / 10)
     made = graph.triads(n.where("id % 2 = 1"), n.where("id % 2 = 0"), 0.38, 13)
-    return made.select("cm1_id", "cm2_id", "bridge_id", "level", F.round("strength", 6).alias("strength"), F.round("weight", 6).alias("weight"))
+    first_x = F.round(F.get("vector", F.lit(0)), 5).alias("first_x")
+    return made.select("cm1_id", "cm2_id", "bridge_id", "level", F.round("strength", 6).alias("strength"), F.round("weight", 6).alias("weight"), first_x)
 
 
 @query(f"""WITH {E}, x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS place FROM e), s AS (SELECT label, place, sum(x) AS x FROM x GROUP BY 1, 2),
@@ -233,12 +304,12 @@ def vector_search_filtered(spark, d):
 
 
 @query(f"""WITH {E}, s AS (SELECT a.id AS q, a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) AS r
-  FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 5 = 0), h AS (SELECT q, max(CAST(la = lb AS INTEGER)) AS hit FROM s WHERE r <= 10 GROUP BY q)
+  FROM e a JOIN e b ON a.id <> b.id), h AS (SELECT q, max(CAST(la = lb AS INTEGER)) AS hit FROM s WHERE r <= 10 GROUP BY q)
 SELECT count(*) AS n_queries, CAST(sum(hit) AS BIGINT) AS n_hits, round(avg(CAST(hit AS DOUBLE)), 6) AS recall FROM h""")
 def recall_at_k(spark, d):
     n = nodes(spark, d)
     label = n.select("id", "label")
-    found = similarity.search(n.where("id % 5 = 0"), n, 10, skip_self=True)
+    found = similarity.search(n, n, 10, skip_self=True)
     found = found.join(label, "id").join(label.toDF("query_id", "own"), "query_id").withColumn("hit", F.col("label") == F.col("own"))
     return graph.recall(found).withColumn("recall", F.round("recall", 6))
 
@@ -276,12 +347,12 @@ def leaf_words(spark, d):
 
 
 @query("""WITH e AS (SELECT DISTINCT l_partkey AS cm1_id, 10000000 + l_suppkey AS cm2_id FROM lineitem),
-x AS (SELECT cm1_id AS node_id FROM e UNION ALL SELECT cm2_id FROM e) SELECT node_id, count(*) AS n_edges FROM x WHERE node_id % 10 = 0 GROUP BY node_id""")
+x AS (SELECT cm1_id AS node_id FROM e UNION ALL SELECT cm2_id FROM e) SELECT node_id, count(*) AS n_edges FROM x GROUP BY node_id""")
 def incident_edges(spark, d):
     """Parts and suppliers as ends of edges."""
     edges = table(spark, d, "lineitem").selectExpr("l_partkey AS cm1_id", "10000000 + l_suppkey AS cm2_id").distinct()
-    some = edges.select(F.explode(F.array("cm1_id", "cm2_id")).alias("id")).where("id % 10 = 0").distinct()
-    return graph.incident(edges, some).groupBy("node_id").agg(F.count("*").alias("n_edges"))
+    ends = edges.select(F.explode(F.array("cm1_id", "cm2_id")).alias("id")).distinct()
+    return graph.incident(edges, ends).groupBy("node_id").agg(F.count("*").alias("n_edges"))
 
 
 @query("SELECT event_type, CAST(user_id % 3 AS BIGINT) AS part, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type, user_id % 3), ())")
@@ -303,9 +374,9 @@ def weight_histogram(spark, d):
     return e.groupBy(F.floor(F.col("value") / 50).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT least(l_partkey % 500, l_suppkey % 500) AS a, greatest(l_partkey % 500, l_suppkey % 500) AS b FROM lineitem WHERE l_partkey % 500 <> l_suppkey % 500")
+@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey")
 def canonical_pairs(spark, d):
-    pairs = table(spark, d, "lineitem").selectExpr("l_partkey % 500 AS x", "l_suppkey % 500 AS y")
+    pairs = table(spark, d, "lineitem").selectExpr("l_partkey AS x", "l_suppkey AS y")
     return graph.canonical_pairs(pairs, "x", "y")
 
 
@@ -370,11 +441,70 @@ def sense_assign(spark, d):
     return e.select("event_id", X.assign_sense(w, c).alias("sense"))
 
 
-@query()
+@query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (ORDER BY md5(doc_id || '|42'), doc_id) AS n, count(*) OVER () AS total FROM documents)
+WHERE n <= greatest(1, round_even(total * 0.1::DOUBLE, 0))""")
 def seeded_sample(spark, d):
     return graph.seeded_sample(table(spark, d, "documents").select("doc_id", "source"), ["doc_id"], 0.1)
 
 
+@query(f"WITH {E} SELECT count(*) * least(5, count(*) - 1) AS n_wanted, TRUE AS reached FROM e")
+def knn_index(spark, d):
+    """Nearest neighbours by the vector index; reached: it finds at least nine tenths of the true ones."""
+    n = nodes(spark, d)
+    found = vector_index.search(vector_index.build(n, 64), n, 5, probes=48, skip_self=True)
+    total = vector_index.recall(found, similarity.search(n, n, 5, skip_self=True))
+    return total.select("n_wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query(f"""WITH {E}, s AS (SELECT a.id AS query_id, b.id AS id, list_dot_product(a.v, b.v) AS cos, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) AS r
+  FROM e a JOIN e b ON a.id <> b.id)
+SELECT query_id, id, round(cos, 6) AS cos FROM s WHERE r <= 3""")
+def index_all_probes(spark, d):
+    """With all cells probed the index gives what the exact scan gives."""
+    n = nodes(spark, d)
+    return vector_index.search(vector_index.build(n, 16), n, 3, probes=16, skip_self=True).select("query_id", "id", F.round("cos", 6).alias("cos"))
+
+
+@query(f"""WITH {E}, s AS (SELECT a.id AS q, CAST(a.label = b.label AS DOUBLE) AS hit, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) AS r FROM e a JOIN e b ON a.id <> b.id),
+h AS (SELECT q, avg(hit) AS share, max(hit) AS hit FROM s WHERE r <= 5 GROUP BY q)
+SELECT q, round(share, 6) AS precision5, round(avg(hit) OVER (ORDER BY q ROWS UNBOUNDED PRECEDING), 6) AS running FROM h""")
+def knn_precision(spark, d):
+    """Share of the five nearest with the query's label, and the running ratio of queries with a hit.
+
+    The ratio runs over the queries in the order of their ids, of which there is one row each.
+    """
+    n = nodes(spark, d)
+    label = n.select("id", "label")
+    found = similarity.search(n, n, 5, skip_self=True).join(label, "id").join(label.toDF("query_id", "own"), "query_id")
+    per = found.groupBy("query_id").agg(F.avg((F.col("label") == F.col("own")).cast("double")).alias("share"))
+    return graph.running_ratio(per, "query_id", F.when(F.col("share") > 0, 1.0).otherwise(0.0)).select(
+        F.col("query_id").alias("q"), F.round("share", 6).alias("precision5"), F.round("running", 6).alias("running")
+    )
+
+
+@query("""SELECT p_partkey AS id, a AS alpha, round(1 + a * (14 - (1 + p_partkey % 13)) / 13, 6) AS factor, round(0.8::DOUBLE * (1 + a * (14 - (1 + p_partkey % 13)) / 13), 6) AS weight
+FROM part, (SELECT unnest([0.0::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS a)""")
+def alpha_sweep(spark, d):
+    """Weights of edges of every level under several growth factors."""
+    rows = table(spark, d, "part").selectExpr("p_partkey AS id", "1 + p_partkey % 13 AS level")
+    out = None
+    for alpha in (0.0, 0.25, 0.5, 1.0):
+        factor = V.level_factor(F.col("level"), alpha)
+        one = rows.select("id", F.lit(alpha).alias("alpha"), F.round(factor, 6).alias("factor"), F.round(F.lit(0.8) * factor, 6).alias("weight"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_id % 2 = 1) WHERE n = 1
+UNION ALL SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_id % 2 = 0) WHERE n = 1
+AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 1)""")
+def upsert_new_over_old(spark, d):
+    """Even events are the old rows, odd ones the new."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    old, new = (keep_last(e.where(F.col("event_id") % 2 == r), ["user_id"], [F.col("event_id")]) for r in (0, 1))
+    return upsert(old, new, ["user_id"])
+
+
 def edge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pairs form, and which of their edges are nearest to a query vector?"""
     n = nodes(spark, sf_dir)

@@ -21,8 +21,9 @@ TRUE_WORDS = ("1", "true", "yes", "on")
 @dataclass(frozen=True)
 class Settings:
     embed_dim: int = 768
-    batch_size: int = 512
+    log_level: str = "INFO"
     embed_batch_size: int = 16
+    # Thresholds and factors that edges are made with.
     q_min_l15: float = 0.72
     disambig_threshold: float = 0.72
     meta_bary_cos_threshold: float = 0.90
@@ -34,6 +35,25 @@ class Settings:
     q_seeds: Mapping[str, float] = field(default_factory=lambda: dict(Q_SEEDS))
     max_depth: int = 15
 
+    @classmethod
+    def load(cls, path: str | os.PathLike = ".env", env: Mapping[str, str] | None = None) -> Settings:
+        """Settings of a file of ``NAME=value`` lines, if there is one, and of the environment, which wins.
+
+        Blank lines and those that begin with # are skipped; ``export`` before a name and
+        quotes around a value are left out.
+        """
+        found: dict[str, str] = {}
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8") as f:
+                for line in f:
+                    name, equals, value = line.strip().removeprefix("export ").partition("=")
+                    if equals and not name.startswith("#"):
+                        value = value.strip()
+                        if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"":
+                            value = value[1:-1]
+                        found[name.strip()] = value
+        return cls().with_env({**found, **(os.environ if env is None else env)})
+
     def with_env(self, env: Mapping[str, str] | None = None) -> Settings:
         """Values of equally named upper-case variables, and ``Q_SEED_<KIND>``."""
         env = os.environ if env is None else env

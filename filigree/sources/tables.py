@@ -13,12 +13,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the cluster's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
+def scratch(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.
+
+    A session that names none gets a local folder, if all its executors are this process;
+    on a cluster that is an error, since no other executor could read it.
+    """
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="filigree-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage into the cluster's shared checkpoint folder."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -47,7 +59,8 @@ def write_table(df: DataFrame, path: str, *, by: list[str] | None = None) -> Non
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     """Typed JSON lines; malformed ones are left out.
 
-    ``line`` numbers a line within its file, in order of the bytes.
+    ``line`` grows with a line's place in its file; numbers leave gaps, and over several
+    files they follow the order in which Spark reads them.
     """
     raw = spark.read.text(path).select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("line"))
     parsed = raw.select("line", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").alias("j"))

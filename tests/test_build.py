@@ -145,6 +145,26 @@ def test_stage_guards_and_dry_run(made, tmp_path):
     assert rows(g.read("edges").select("id", "parent_id").orderBy("id")) == before
 
 
+def test_parse_goes_on_and_edges_are_guarded(made, tmp_path):
+    g, _, _ = made
+    state = Manifest(tmp_path / "s")
+    first = build.Graph(g.spark, str(tmp_path / "t"), FAKE, source=g.source, limit=3)
+    assert build.run_stage(first, state, "parse") == 3
+    later = build.Graph(g.spark, str(tmp_path / "t"), FAKE, source=g.source, resume=True)
+    assert build.run_stage(later, state, "parse") == 7
+    assert sorted(rows(later.read("words").select("word"))) == sorted(rows(g.read("words").select("word")))
+    assert build.run_stage(later, state, "parse") == 7
+    for stage in ("embed", "nodes", "sense_edges"):
+        build.run_stage(first, state, stage)
+    state.reset("sense_edges")
+    with pytest.raises(StageError, match="already"):
+        build.run_stage(first, state, "sense_edges")
+    before = rows(later.read("sense_edges").select("id", "cm1_id", "cm2_id"))
+    assert build.run_stage(later, state, "sense_edges") == len(before)
+    assert sorted(rows(later.read("sense_edges").select("id", "cm1_id", "cm2_id"))) == sorted(before)
+    assert build.run_stage(first, state, "sense_edges", force=True) == len(before)
+
+
 def test_floor_above_the_threshold_pairs_senses_of_one_word(made, spark, tmp_path):
     g, _, _ = made
     strict = build.Graph(spark, g.root, Settings(fake_embed=True, embed_dim=16, q_min_l15=0.999, polysemy_q_floor=0.999))

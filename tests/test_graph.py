@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions import text as X
 from filigree.functions import vectors as V
-from filigree.operators import embed, graph, matching, parse, similarity
+from filigree.operators import embed, graph, matching, parse, similarity, vector_index
 from filigree.plans.manifest import Manifest, StageError
 from filigree.settings import Q_SEEDS, Settings
 from filigree.sources.tables import keep_last, ping, read_jsonl, upsert
@@ -235,6 +235,7 @@ def test_settings_and_manifest(tmp_path):
     m = Manifest(tmp_path, ("a", "b", "c"))
     with pytest.raises(StageError):
         m.run("b", lambda: 1)
+    assert Manifest(tmp_path / "forced", ("a", "b")).run("b", lambda: 1, force=True) == 1
     assert m.run("a", lambda: 3, dry_run=True) == 3 and not m.is_done("a")
     assert m.run("a", lambda: 3) == 3 and m.load("a").processed == 3
     with pytest.raises(StageError):
@@ -246,6 +247,46 @@ def test_settings_and_manifest(tmp_path):
         m.load("z")
 
 
+def test_settings_file(tmp_path):
+    (tmp_path / "f").write_text('# note\n\nexport EMBED_DIM=32\nEMBED_MODEL="a b"\nQ_MIN_L15 = 0.5\n')
+    s = Settings.load(tmp_path / "f", {"EMBED_DIM": "64"})
+    assert (s.embed_dim, s.embed_model, s.q_min_l15) == (64, "a b", 0.5)
+    assert Settings.load(tmp_path / "none", {}) == Settings()
+
+
+@pytest.mark.parametrize("tail", [4, 50_000])
+def test_assignment_where_all_want_the_same(spark, monkeypatch, tail):
+    """All pairs rank the bridges alike: rounds of proposals alone would settle one at a time."""
+    monkeypatch.setattr(matching, "TAIL_EDGES", tail)
+    monkeypatch.setattr(matching, "PROPOSAL_ROUNDS", 1)
+    rows = [(p, p, b, 1.0 - b / 100) for p in range(12) for b in range(15)]
+    found = matching.exclusive_assignment(spark.createDataFrame(rows, "pair long, rank long, bridge long, cos double")).collect()
+    assert sorted((r["pair"], r["bridge"]) for r in found) == [(p, p) for p in range(12)]
+
+
+@pytest.mark.parametrize("block", [3, 16_384])
+def test_index_finds_what_it_should(spark, block):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(1, 12)) + rng.normal(0, 0.3, size=(60, 12)) for _ in range(20)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None)], "id long, vector array<double>")
+    index = vector_index.build(frame, 24)
+    asked = frame.where("id % 10 = 0")
+    exact = similarity.search(asked, frame, 5, skip_self=True)
+    near = vector_index.search(index, asked, 5, probes=4, skip_self=True, piece=block * 10)
+    assert vector_index.recall(near, exact).first()["recall"] >= 0.9
+    every = vector_index.search(index, asked, 5, probes=24, skip_self=True, piece=block * 10)
+    assert sorted(map(tuple, every.select("query_id", "rank", "id").collect())) == sorted(map(tuple, exact.select("query_id", "rank", "id").collect()))
+    none = frame.where("id = 5000")
+    assert vector_index.search(vector_index.build(none), asked, 3).count() == 0 and vector_index.search(index, none, 3).count() == 0
+
+
+def test_running_ratio_equals_plain_sums(spark):
+    values = [(i, float(i % 3 == 0)) for i in range(50)]
+    found = graph.running_ratio(spark.createDataFrame(values, "k long, v double").repartition(7), "k", F.col("v")).orderBy("k").collect()
+    assert [r["running"] for r in found] == pytest.approx([sum(v for _, v in values[: i + 1]) / (i + 1) for i in range(50)])
+
+
 def test_streamed_words_keep_the_last_version(spark, tmp_path):
     from filigree.streaming.ingest import current, stream_words
 
