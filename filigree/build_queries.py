@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filigree.functions.text import is_object_id
 from filigree.operators import parse
 from filigree.plans import build, tools
 from filigree.queries import query
@@ -93,6 +94,13 @@ def parse_senses(spark, d):
     )
 
 
+@query("SELECT doc_id, 20 + doc_id % 8 = 24 AS valid FROM documents")
+def object_ids(spark, d):
+    """Which strings are 24 hexadecimal digits; made of MD5 prefixes of several lengths."""
+    given = F.expr("left(md5(cast(doc_id AS string)), cast(20 + doc_id % 8 AS int))")
+    return table(spark, d, "documents").select("doc_id", is_object_id(given).alias("valid"))
+
+
 # ---------------------------------------------------------------- stages on suppliers
 
 #: Thresholds that every pair reaches, so that counts follow from the stages' rules alone.
@@ -338,7 +346,7 @@ def tool_holdout(spark, d):
     return tools.holdout(tool_graph(spark, d), 0.25)
 
 
-@query(f"""WITH {_GRAPH_SQL} SELECT json_object('seed', {TOP} + vec_id, 'parent', NULL) AS json FROM v""")
+@query(f"""WITH {_GRAPH_SQL} SELECT CAST(json_object('seed', {TOP} + vec_id, 'parent', NULL) AS VARCHAR) AS json FROM v""")
 def tool_json(spark, d):
     """Answers as JSON objects, nulls kept."""
     rows = tool_graph(spark, d).read("edges").where("level = 13").select(F.col("id").alias("seed"), F.col("parent_id").alias("parent"))
