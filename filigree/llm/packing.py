@@ -5,8 +5,9 @@ bear loss.  A sequence holds at most ``Limits`` of each.  Sequences are filled
 one after another; the next example is the fitting one with the largest dot
 product between its demand and the room that is left, each measured as a part
 of its limit.  An example longer than a sequence is first cut into full ones
-and a rest; where nothing fits whole, the example with the largest dot product
-is cut to fill the room, so that only the last sequence of a block is padded.
+and a rest; where nothing fits whole, and for the last segment that a sequence may
+have, the example with the largest dot product is cut to fill the room.  So only the
+last sequences of a block are padded, which nothing longer is left for.
 
 Placement is local to an input partition and, inside it, to blocks of
 ``BLOCK_ITEMS`` rests.  No token moves over the network, memory holds one block,
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from filigree.llm.common import FLUSH_BYTES, byte_level, pick
+from filigree.llm.common import FLUSH_BYTES, byte_level, pick, tidily
 
 #: Rests that are placed together.
 BLOCK_ITEMS = 2048
@@ -62,6 +63,9 @@ def place(demand, limits: Limits) -> Iterator[tuple[int, int, int, int]]:
             fits = live & (have <= room).all(axis=1)
             whole = fits.any()
             may = fits if whole else live
+            if room[1] == 1 and (longer := live & (have[:, 0] > room[0])).any():
+                # The last segment a sequence may have is cut from one that fills it.
+                whole, may = False, longer
             if not may.any():
                 break
             score = np.where(may, (have / most) @ (room / most), -1.0)
@@ -118,7 +122,7 @@ def pack_documents(
         raise ValueError("limits must be positive")
     run = _packer(tokenizer, limits, end_id, block_items)
     return pick(df, doc_id=id_col, text=text_col).mapInArrow(
-        run,
+        tidily(run, "bytes"),
         "doc_id long, start long, length long, ids binary, doc_tokens long, "
         "sequence_id long, offset long, sequence_tokens long, padded_to long",
     )

@@ -1,6 +1,7 @@
 """Token counts, packing and BPE against the tokenizers library."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -152,6 +153,27 @@ def test_packing_pads_little(spark, small):
     assert whole - used < 1024 + 0.01 * whole
 
 
+@pytest.mark.parametrize(("tiny", "long"), [(1900, 148), (500, 1500), (64, 3)])
+def test_tiny_examples_leave_room_to_long_ones(tiny, long):
+    """Where the segments run out, the last one is cut to fill the sequence."""
+    rng = random.Random(tiny)
+    demand = [(5, 4)] * tiny + [(rng.randrange(300, 1024), 290) for _ in range(long)]
+    limits = packing.Limits()
+    used, segments, seen = {}, {}, {}
+    for item, start, n, sequence in packing.place(np.array(demand, np.int64), limits):
+        assert n > 0 and start == seen.get(item, 0)
+        seen[item] = start + n
+        used[sequence] = used.get(sequence, 0) + n
+        segments[sequence] = segments.get(sequence, 0) + 1
+    assert seen == {i: n for i, (n, _) in enumerate(demand)}
+    assert max(used.values()) <= limits.tokens and max(segments.values()) <= limits.segments
+    padded = sum(limits.tokens - n for n in used.values() if n & (n - 1))
+    # What is left when all long ones are used up has no more than the limit of tiny ones.
+    rest = sum(n == 5 * limits.segments for n in used.values())
+    assert padded <= limits.tokens * (1 + rest) + 0.01 * sum(used.values())
+    assert rest <= max(0, tiny // limits.segments - sum(n for n, _ in demand[tiny:]) // (limits.tokens - 5 * limits.segments) + 1)
+
+
 def test_empty_tables_and_repeated_rows(spark):
     none = frame(spark, []).limit(0)
     assert packing.pack_documents(none, tokenizer=BYTES).count() == 0
