@@ -15,7 +15,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from filigree.llm.common import FLUSH_BYTES, NOT_PLAIN, byte_symbols, pick
+from filigree.llm.common import FLUSH_BYTES, NOT_PLAIN, byte_symbols, pick, tidily
 
 #: Pre-tokens whose ids a worker remembers; the memory is emptied beyond that.
 MEMO = 400_000
@@ -194,4 +194,4 @@ def bpe_round_trip(
         if cols[0]:
             yield flush()
 
-    return pick(df, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return pick(df, doc_id=id_col, text=text_col).mapInArrow(tidily(run), "doc_id long, n_tokens long, ids binary, decoded string")

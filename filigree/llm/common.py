@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker, where the session says nothing else.
+ARROW_BYTES = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Hand Python workers small batches, unless the session has a size of its own.
+
+    The default of 64 MB is for short rows; with whole texts each running task would hold
+    several times that outside the heap, and the allocators keep it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """Only the wanted columns under new names, so extra columns cannot clash.
 
+    Every operator begins with it, so it also sees to the size of batches (:func:`lean`).
+
     A name is looked up without regard to case, as Spark does; where the frame
     holds several such columns, the exact spelling is taken.
     """
+    lean(df.sparkSession)
     out = []
     for new, old in names.items():
         at = [i for i, c in enumerate(df.columns) if c == old] or [
@@ -111,10 +130,28 @@ def tidy() -> None:
         pass
 
 
-def tidily(run):
-    """A function for ``mapInArrow`` that tidies up when its partition is done."""
+#: What workers keep over tasks, by owner, and how it is dropped.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept(owner: str, drop: Callable[[], None]) -> None:
+    """Have what an operator's module keeps over tasks dropped when another one's tasks begin."""
+    _KEPT[owner] = drop
+
+
+def begin(owner: str) -> None:
+    """Drop what operators other than ``owner`` keep in this worker."""
+    for name, drop in _KEPT.items():
+        if name != owner:
+            drop()
+
+
+def tidily(run, owner: str = ""):
+    """A function for ``mapInArrow`` that begins without other operators' caches and ends tidily."""
 
     def done(batches):
+        # A function of the module, so that it finds the worker's own caches.
+        begin(owner)
         yield from run(batches)
         tidy()
 
@@ -290,3 +327,6 @@ class ByteLevelEncoder:
 @lru_cache(maxsize=1)
 def byte_level(path: str) -> ByteLevelEncoder:
     return ByteLevelEncoder(path)
+
+
+kept("bytes", byte_level.cache_clear)

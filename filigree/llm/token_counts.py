@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from filigree.llm.common import byte_level, pick
+from filigree.llm.common import byte_level, pick, tidily
 
 RULES = ("start", "largest")
 #: Section rows after which a batch is handed on.
@@ -110,5 +110,5 @@ def token_counts(
             yield flush()
 
     return pick(df, doc_id=id_col, text=text_col).mapInArrow(
-        run, "doc_id long, section long, n_chars long, n_bytes long, n_tokens long, n_crossing long"
+        tidily(run, "bytes"), "doc_id long, section long, n_chars long, n_bytes long, n_tokens long, n_crossing long"
     )

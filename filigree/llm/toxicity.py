@@ -12,15 +12,18 @@ number, so that scoring is a mean of numbers over the words of whole texts.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filigree.llm.common import pick
+from filigree.llm.common import kept, pick, tidily
 
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]", re.UNICODE)
 
@@ -35,30 +38,62 @@ class Settings:
     dim: int = 8
     shortest: int = 3
     longest: int = 5
-    longest_word: int = 40
     epochs: int = 6
     batch: int = 64
     rate: float = 3.0
+    #: Words whose numbers a worker remembers, and their longest.
     memo: int = 500_000
+    memo_word: int = 40
     seed: int = 7
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+#: Characters of a text up to which its words are listed; those of longer texts come one by one.
+LISTED = 1 << 20
+
+
+def words(text: str) -> Iterable[str]:
+    text = text.lower()
+    return WORD.findall(text) if len(text) <= LISTED else (m.group() for m in WORD.finditer(text))
 
 
 def subwords(word: str, s: Settings) -> list[int]:
     """Rows of a word: itself and its n-grams with word ends, distinct."""
     w = f"<{word}>"
-    if len(w) > s.longest_word:
-        # A very long word keeps its n-grams of one length, each once.
-        grams = {w[i : i + s.longest] for i in range(len(w) - s.longest + 1)}
-    else:
-        grams = {w[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(w) - n + 1)}
+    if len(w) > VECTORED and w.isascii():
+        return _long_subwords(w, s)
+    grams = {w[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(w) - n + 1)}
     grams.add(w)
     return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % s.buckets for g in grams})
 
 
+#: Characters from which an ASCII word's n-grams are hashed all at once; the rows are the same.
+VECTORED = 40
+
+
+@lru_cache(maxsize=1)
+def _crc_steps():
+    """CRC-32 of each byte, by the polynomial."""
+    import numpy as np
+
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, c >> np.uint32(1) ^ np.uint32(0xEDB88320), c >> np.uint32(1))
+    return c
+
+
+def _long_subwords(w: str, s: Settings) -> list[int]:
+    import numpy as np
+
+    raw, step = np.frombuffer(w.encode(), np.uint8).astype(np.uint32), _crc_steps()
+    rows = [np.array([zlib.crc32(w.encode()) % s.buckets], np.uint32)]
+    for n in range(s.shortest, s.longest + 1):
+        crc = np.full(len(raw) - n + 1, 0xFFFFFFFF, np.uint32)
+        for k in range(n):
+            crc = step[(crc ^ raw[k : len(raw) - n + 1 + k]) & np.uint32(255)] ^ (crc >> np.uint32(8))
+        rows.append((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(s.buckets))
+    return np.unique(np.concatenate(rows)).tolist()
+
+
 class Model:
     """Weights after training: a number for each subword row, and a bias."""
 
@@ -69,7 +104,7 @@ class Model:
     def word(self, w: str) -> float:
         rows = subwords(w, self.settings)
         x = float(self.weights[rows].mean())
-        if len(w) <= self.settings.longest_word:
+        if len(w) <= self.settings.memo_word:
             if len(self.memo) >= self.settings.memo:
                 self.memo.clear()
             self.memo[w] = x
@@ -78,12 +113,13 @@ class Model:
     def score(self, text: str) -> float:
         import math
 
-        memo, found = self.memo, words(text)
-        total = 0.0
-        for w in found:
+        memo = self.memo
+        total, n = 0.0, 0
+        for w in words(text):
             x = memo.get(w)
             total += self.word(w) if x is None else x
-        z = self.bias + (total / len(found) if found else 0.0)
+            n += 1
+        z = self.bias + (total / n if n else 0.0)
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -224,7 +260,7 @@ def _trained(rows: DataFrame, s: Settings) -> Model:
             model = train(texts, labels, s)
             yield pa.record_batch([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
 
-    made = rows.mapInArrow(run, "weights binary, bias double").first()
+    made = rows.mapInArrow(tidily(run), "weights binary, bias double").first()
     return Model(np.frombuffer(made["weights"], np.float32), made["bias"], s)
 
 
@@ -247,15 +283,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = pick(docs, doc_id=id_col, __text=text_col, **{k: k for k in keep})
     schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), *(rows.schema[k] for k in keep)])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidily(run, "toxicity"), schema)
 
 
 _MODELS: dict[tuple, Model] = {}
+kept("toxicity", _MODELS.clear)
 
 
 def _loaded(held) -> Model:
     """A worker's model, kept over tasks with what it remembers of words."""
-    key = held.value[0].tobytes()[:4096], held.value[1]
+    weights, bias, settings = held.value
+    key = hashlib.sha256(weights.tobytes()).digest(), bias, settings
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = Model(*held.value)
