@@ -24,12 +24,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; rows without id stay."""
-    found = ngram_jaccard.jaccard_components(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS)
-    named = rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(rows.where("doc_id IS NULL")).select(*COLUMNS)
+    """One document of each component: that with the smallest id, then the smallest hash of its text.
+
+    Rows, not ids, are what is kept: one with another's id and another text is judged by
+    its own text, and rows without id stand behind those with one.  Equal rows are one.
+    Texts without a word link with nothing and stay, each row of them.
+    """
+    rows = docs.select(*COLUMNS).withColumn("__hash", F.xxhash64("text"))
+    blank = F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "") == ""
+    found = ngram_jaccard.jaccard_components(rows.where(~blank), keep=("__hash",))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.col("__hash").alias("hash"))).alias("first")
+    key = lambda i, h: F.xxhash64(F.coalesce(i, F.lit(0)), i.isNull(), h).alias("__key")
+    kept = found.groupBy("component").agg(first).select(key(F.col("first.doc_id"), F.col("first.hash")))
+    named = rows.where(~blank).withColumn("__key", key(F.col("doc_id"), F.col("__hash"))).join(kept, "__key", "left_semi")
+    named = named.dropDuplicates(["__key", "doc_id", "__hash"])
+    return named.select(*COLUMNS).unionByName(rows.where(blank).select(*COLUMNS))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared checkpoint folder."""
+    """All stages over documents; each result is written to the shared checkpoint folder.
+
+    A stage's result goes when the next one's is there; the last one's stays for the
+    frame that is returned.
+    """
     import uuid
 
     ensure_checkpoint_dir(spark)
@@ -61,4 +74,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if i:
+            _remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
