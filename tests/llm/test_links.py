@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from filigree.llm import ann, ngram_jaccard
+from filigree.llm import ann, common, ngram_jaccard
 from filigree.llm.components import connected_components
 
 
@@ -64,12 +64,15 @@ def corpus():
     return texts + texts[20:30] + ["z" * 100_000]
 
 
-@pytest.mark.parametrize("percent", [75, 60])
-def test_components_equal_brute_force(spark, percent):
+@pytest.mark.parametrize(("percent", "broadcast", "limit"), [(75, 500_000, 64), (60, 0, 1), (75, 0, 3)])
+def test_components_equal_brute_force(spark, monkeypatch, percent, broadcast, limit):
+    """With ids broadcast or joined, with few or all keys split, lists sifted in many steps."""
+    monkeypatch.setattr(common, "SPLIT_ROWS", limit)
+    monkeypatch.setattr(ngram_jaccard, "SIFT_ROWS", 20 * limit)
     texts = corpus()
     rows = [(i, t, "n", 5) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, cls string, n int").repartition(3)
-    s = ngram_jaccard.Settings(percent=percent, sketch_bits=12)
+    s = ngram_jaccard.Settings(percent=percent, sketch_bits=12, broadcast_rows=broadcast)
     found = {r["doc_id"]: r for r in ngram_jaccard.jaccard_components(docs, settings=s).collect()}
     sizes, parts = components(texts, percent)
     assert [found[i]["n_shingles"] for i in range(len(texts))] == sizes

@@ -200,3 +200,17 @@ def test_pipeline_stage_decisions(spark, small, monkeypatch):
     assert set(total) == {r[0] for r in clean.select("doc_id").collect()}
     for f in (now, unique, clean):
         f.unpersist()
+
+
+def test_near_copies_are_judged_by_row(spark, small):
+    """Repeated and null ids, blank texts, columns of other names, and no rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = ("a b c d e f g h i j k", "one two three four five six seven", "some other words that nobody else has here")
+    rows = [(5, a), (5, b), (3, a.upper()), (None, a), (None, c), (None, c), (5, b), (9, ""), (9, ""), (9, None), (None, " \t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7, 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component long, n int")
+    kept = pipeline.drop_near_copies(spark, docs, small)
+    assert kept.columns == list(pipeline.COLUMNS)
+    want = [(3, a.upper()), (5, b), (None, c), (9, ""), (9, ""), (9, None), (None, " \t")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(repr, want))
+    for stage in (pipeline.drop_near_copies, pipeline.mask_pii, pipeline.pack):
+        assert stage(spark, docs.limit(0), small).count() == 0
