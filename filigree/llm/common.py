@@ -78,6 +78,33 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def brief(df: DataFrame) -> DataFrame:
+    """The same rows as a frame for one action, at whose end the shuffle files it made are removed.
+
+    They would stay until the driver happens to collect its garbage.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return df.select("*")
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
+
+
+def release(*settled: DataFrame) -> None:
+    """Remove the files of frames given by :func:`settle` that nothing reads any more."""
+    for df in settled:
+        spark = df.sparkSession
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of a key up to which it is never split.
 SPLIT_ROWS = 64
 

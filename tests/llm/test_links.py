@@ -102,6 +102,66 @@ def test_shingle_counts_of_odd_batches():
     assert set(hashes[bounds[4] : bounds[5]]) < set(hashes[bounds[5] : bounds[6]])
 
 
+def test_parity_bits_differ_at_most_where_sets_do():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 63, n, np.uint64) for n in (0, 1, 5, 64, 65, 100, 128, 129, 700)]
+    sets += [np.concatenate([s[k:], rng.integers(0, 1 << 63, m, np.uint64)]) for s in sets for k, m in [(0, 1), (1, 1), (3, 40), (20, 2)]]
+    bits = ngram_jaccard.parity_bits(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    for a, x in zip(sets, bits, strict=True):
+        assert len(x) == (max(64, 1 << (len(a) - 1).bit_length()) // 8 if len(a) else 0)
+        for b, y in zip(sets, bits, strict=True):
+            if len(a) and len(b):
+                assert ngram_jaccard.differing(x, y) <= len(np.setxor1d(a, b))
+                assert x is not y or ngram_jaccard.differing(x, y) == 0
+
+
+@pytest.mark.parametrize("limit", [64, 1])
+def test_whole_sets_are_made_of_promising_pairs_only(spark, monkeypatch, limit):
+    """Texts that share much less than is needed are not compared set by set; every link still is."""
+    monkeypatch.setattr(common, "SPLIT_ROWS", limit)
+    rng = random.Random(6)
+    new = lambda n: [f"w{rng.randrange(10_000)}" for _ in range(n)]
+    line = new(30)
+    texts = [" ".join(line + new(rng.choice([90, 200]))) for _ in range(20)]
+    texts += [t + " x y" for t in texts[:10]] + ["a b c d e f g h i", "b c d e f g h i j", "one"]
+    hashes, at = ngram_jaccard.shingle_hashes(pa.array(texts), 5)
+    rows = [(i, int(n), b) for i, (n, b) in enumerate(zip(np.diff(at), ngram_jaccard.parity_bits(hashes, at), strict=True))]
+    classes = spark.createDataFrame(rows, "cls long, n int, bits binary")
+    sets = [shingles(t) for t in texts]
+    every = [(i, j) for j in range(len(texts)) for i in range(j) if 100 * min(len(sets[i]), len(sets[j])) >= 75 * max(len(sets[i]), len(sets[j]))]
+    kept = {tuple(r) for r in ngram_jaccard._promising(spark.createDataFrame(every, "a long, b long"), classes, ngram_jaccard.Settings()).collect()}
+    linked = {(i, j) for i, j in every if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(linked) >= 10 and linked <= kept
+    assert len(every) > 100 and len(kept - linked) <= 5
+
+
+def test_scratch_files_go_when_they_are_done(spark, monkeypatch):
+    """Neither lists, entries and pairs nor the shuffles that made them stay for the rest of the job."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    spark._jvm.System.gc()
+    before = files()
+    kept = common.settle(common.brief(spark.range(100).selectExpr("id % 7 AS k").groupBy("k").count()))
+    assert kept.count() == 7
+    made, settle = [], ngram_jaccard.settle
+
+    def noted(df):
+        made.append((settle(df), files()))
+        return made[-1][0]
+
+    monkeypatch.setattr(ngram_jaccard, "settle", noted)
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = ngram_jaccard.jaccard_components(docs, settings=ngram_jaccard.Settings(sketch_bits=12))
+    path = lambda df: spark._jvm.org.apache.hadoop.fs.Path(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    left = [df.columns for df, _ in made if (p := path(df)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+    assert ["token", "grp", "n", "pos"] in [df.columns for df, _ in made]
+    # Sizes and ids of all documents, components by class, and up to three small tables of components.
+    assert sorted(c[0] for c in left if c[0] != "node") == ["cls", "doc_id"], left
+    # The first frames have no hot keys or components beside them: each step's own files are gone behind it.
+    assert made[0][1] <= before
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(components(texts)[1]))
+
+
 def test_connected_components_of_random_graphs(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(-40, 40, (45, 2))] + [(i, i + 1) for i in range(100, 140)]
