@@ -162,6 +162,22 @@ def test_scratch_files_go_when_they_are_done(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(components(texts)[1]))
 
 
+def test_near_copies_stage_leaves_little_behind(spark, tmp_path, monkeypatch):
+    """Beside its result the pipeline's stage keeps what the result is read from, not what led there."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    made, checkpoint = [], common.settle
+    monkeypatch.setattr(ngram_jaccard, "settle", lambda df: made.append(checkpoint(df)) or made[-1])
+    texts = corpus()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    pipeline.drop_near_copies(spark, docs, "").write.parquet(str(tmp_path / "out"))
+    sizes, parts = components(texts)
+    want = [i for i in range(len(texts)) if parts[i] == i or not sizes[i]]
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+    path = lambda df: spark._jvm.org.apache.hadoop.fs.Path(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    left = [df for df in made if (p := path(df)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+    assert len(made) > 20 and len(left) <= 4, [df.columns for df in left]
+
+
 def test_connected_components_of_random_graphs(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(-40, 40, (45, 2))] + [(i, i + 1) for i in range(100, 140)]
