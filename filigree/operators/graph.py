@@ -95,7 +95,7 @@ def triads(children: DataFrame, bridges: DataFrame, threshold: float, level: int
     centroid.  A pair starts with its ``first`` nearest bridges and gets more when all
     of them went to pairs before it.  Returns cm1_id, cm2_id, bridge_id, level, strength, weight, vector.
     """
-    pairs = settle(matching.greedy_match(similarity.pairs_above(children.select("id", "vector"), threshold), threshold))
+    pairs = matching.nearest_match(children.select("id", "vector"), threshold)
     kids = children.select("id", "vector", "weight")
     a = kids.toDF("i", "v1", "w1")
     b = kids.toDF("j", "v2", "w2")
@@ -103,14 +103,7 @@ def triads(children: DataFrame, bridges: DataFrame, threshold: float, level: int
     # A child is in one pair, so its id names the pair.
     middles = both.select(F.col("i").alias("pair"), F.struct((-F.col("q")).alias("far"), "i").alias("rank"), F.col("middle").alias("vector"))
 
-    def offer(asking: DataFrame, k: int) -> DataFrame:
-        """The nearest k bridges of each of these pairs."""
-        asked = middles.join(asking.select("pair"), "pair", "left_semi")
-        found = similarity.search(asked.select(F.col("pair").alias("id"), "vector"), bridges.select("id", "vector"), k)
-        found = found.select(F.col("query_id").alias("pair"), F.col("id").alias("bridge"), "cos")
-        return found.join(asked.select("pair", "rank"), "pair")
-
-    given = matching.exclusive_assignment(offer(middles, first), offer, first=first)
+    given = matching.nearest_assignment(middles, bridges.select("id", "vector"), first=first)
     c = bridges.select(F.col("id").alias("bridge"), F.col("vector").alias("v3"), F.col("weight").alias("w3"))
     rows = both.join(given.select(F.col("pair").alias("i"), "bridge"), "i").join(c, "bridge")
     strength = V.triad_strength(F.col("w1"), F.col("w2"), F.col("w3"))

@@ -18,33 +18,42 @@ from pyspark.sql import functions as F
 #: Vectors that a task holds on average, and vectors that it multiplies at once.
 SUPER = 16_384
 BLOCK = 2048
-#: Streamed vectors whose products with all held ones are in memory.
-ROWS_AT_ONCE = 256
+#: In a search, short vectors are held up to so many bytes and so many of them.
+HELD_BYTES = 32 << 20
+MOST_HELD = 65_536
+#: Products, of streamed vectors with all held ones, that are in memory.
+PRODUCTS_AT_ONCE = 1 << 22
+#: Rows that a kernel's batch has at most, in a search.
+ROWS_OUT = 1 << 17
+#: Tasks that a search is cut into where the vectors are few.
+LEAST_TASKS = 12
 #: Tasks of a grid; more cells take turns in them.
 MOST_TASKS = 100_000
 
 _FORM = "cell int, side int, id long, vector binary"
 
 
-def known(df: DataFrame) -> DataFrame:
-    """id (long), vector (doubles) of the rows that have a vector."""
-    return df.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+def known(df: DataFrame, *more: str) -> DataFrame:
+    """id (long), vector (doubles) and more columns of the rows that have a vector."""
+    return df.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *more)
 
 
-def _packed(df: DataFrame) -> DataFrame:
-    """Vectors as little-endian doubles."""
+def _packed(df: DataFrame, bar: str | None = None) -> DataFrame:
+    """Vectors as little-endian doubles; the column ``bar`` (long) follows as one more."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            flat = np.asarray(b.column(1).flatten(), np.float64)
-            raw, n = flat.astype("<f8").tobytes(), b.num_rows
+            flat, n = np.asarray(b.column(1).flatten(), np.float64), b.num_rows
+            if bar and n:
+                flat = np.column_stack([flat.reshape(n, -1), b.column(2).to_numpy().astype(np.float64)])
+            raw = flat.astype("<f8").tobytes()
             size = len(raw) // n if n else 0
             yield pa.record_batch([b.column(0), pa.array([raw[i * size : (i + 1) * size] for i in range(n)], pa.binary())], names=["id", "vector"])
 
-    return known(df).mapInArrow(run, "id long, vector binary")
+    return known(df, *([bar] if bar else [])).mapInArrow(run, "id long, vector binary")
 
 
 def _supers(n: int, size: int) -> int:
@@ -55,10 +64,11 @@ def _draw(n: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
 
-def _streamed(rows: DataFrame, cells: int, kernel, schema: str) -> DataFrame:
+def _streamed(rows: DataFrame, cells: int, kernel, schema: str, block: int = BLOCK) -> DataFrame:
     """Rows (cell, side, id, vector) through a kernel (cell, held, streamed) -> batch.
 
-    Held rows (side 0) come first; streamed is None for the held ones among themselves.
+    Held rows (side 0) come first; streamed is None for the held ones among themselves,
+    else at most ``block`` rows.
     """
     tasks = min(cells, MOST_TASKS)
 
@@ -81,8 +91,8 @@ def _streamed(rows: DataFrame, cells: int, kernel, schema: str) -> DataFrame:
                     yield out
             if wait and held is not None:
                 ids, x = matrix(wait)
-                for a in range(0, len(ids), BLOCK):
-                    out = kernel(now, held, (ids[a : a + BLOCK], x[a : a + BLOCK]))
+                for a in range(0, len(ids), block):
+                    out = kernel(now, held, (ids[a : a + block], x[a : a + block]))
                     if out is not None and out.num_rows:
                         yield out
             wait, waiting = [], 0
@@ -155,22 +165,34 @@ def top_pairs(df: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
     return pairs_above(df, threshold).orderBy(F.desc("cos"), "i", "j").limit(k)
 
 
-def best_of(held, streamed, k: int, skip_self: bool):
-    """Arrow batch of the k held rows with the largest product for each streamed row."""
+def best_of(held, streamed, k: int, skip_self: bool, threshold: float | None = None, barred: bool = False):
+    """Arrow batch of the k held rows with the largest product for each streamed row.
+
+    Products have to reach the threshold, if there is one.  barred: the last component is
+    no part of a vector; only held rows in which it is larger than in the streamed row count.
+    """
     import numpy as np
     import pyarrow as pa
 
+    width = held[1].shape[1] - barred
+    y = held[1][:, :width]
     out = ([], [], [])
-    for a in range(0, len(streamed[0]), ROWS_AT_ONCE):
-        owns, x = streamed[0][a : a + ROWS_AT_ONCE], streamed[1][a : a + ROWS_AT_ONCE]
-        near = x @ held[1].T
+    step = max(1, PRODUCTS_AT_ONCE // len(held[0]))
+    for a in range(0, len(streamed[0]), step):
+        owns, x = streamed[0][a : a + step], streamed[1][a : a + step, :width]
+        near = x @ y.T
+        if barred:
+            near[held[1][:, width] <= streamed[1][a : a + step, width:]] = -np.inf
         n = min(len(held[0]), k + 1)
         least = np.partition(near, -n, axis=1)[:, -n] - 1e-9
+        floor = -np.finfo(np.float64).max if threshold is None else threshold - 1e-9
         for row, own in enumerate(owns):
-            at = np.flatnonzero(near[row] >= least[row])
-            cos = (held[1][at] * x[row]).sum(axis=1)
+            at = np.flatnonzero(near[row] >= max(least[row], floor))
+            cos = (y[at] * x[row]).sum(axis=1)
             if skip_self:
                 at, cos = at[held[0][at] != own], cos[held[0][at] != own]
+            if threshold is not None:
+                at, cos = at[cos >= threshold], cos[cos >= threshold]
             best = np.lexsort((held[0][at], -cos))[:k]
             out[0].append(np.full(len(best), own))
             out[1].append(held[0][at][best])
@@ -184,24 +206,31 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, *, block: int = SUPER, skip_self: bool = False) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, k: int, *, block: int | None = None, skip_self: bool = False, threshold: float | None = None, bar: str | None = None) -> DataFrame:
     """The k corpus rows with the largest dot product for each query, by an exact scan.
 
     queries, corpus: id (long, distinct), vector; rows without a vector take no part.
     Returns query_id, id, cos, rank (from 1); ties go to the smaller id.  Without
-    queries or corpus there is no row.
+    queries or corpus there is no row.  threshold: what products have to reach.  bar: a
+    column (long, under 2^53) of both; only corpus rows in which it is larger than in the
+    query count.  block: corpus rows that a task holds on average.
     """
-    gc = _supers(corpus.where("vector IS NOT NULL").count(), block)
-    gq = _supers(queries.where("vector IS NOT NULL").count(), 8 * block)
+    size = corpus.where("vector IS NOT NULL").agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("width")).first()
+    asked = queries.where("vector IS NOT NULL").count()
+    if block is None:
+        block = max(SUPER, min(MOST_HELD, HELD_BYTES // (8 * max(1, size["width"]))))
+    gc = _supers(size["n"], block)
+    gq = max(_supers(asked, 8 * block), min(_supers(asked, BLOCK), _supers(LEAST_TASKS, gc)))
     # The corpus is held, super-block by super-block; queries stream past all of it.
-    c = _packed(corpus).withColumn("y", _draw(gc)).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(gq - 1)))).withColumn("side", F.lit(0))
-    q = _packed(queries).withColumn("x", _draw(gq)).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(gc - 1)))).withColumn("side", F.lit(1))
+    c = _packed(corpus, bar).withColumn("y", _draw(gc)).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(gq - 1)))).withColumn("side", F.lit(0))
+    q = _packed(queries, bar).withColumn("x", _draw(gq)).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(gc - 1)))).withColumn("side", F.lit(1))
     rows = c.unionByName(q).select((F.col("x") * gc + F.col("y")).cast("int").alias("cell"), "side", "id", "vector")
 
     def kernel(cell, held, streamed):
-        return None if streamed is None else best_of(held, streamed, k, skip_self)
+        return None if streamed is None else best_of(held, streamed, k, skip_self, threshold, bar is not None)
 
-    return ranked(_streamed(rows, gc * gq, kernel, "query_id long, id long, cos double"), k)
+    found = _streamed(rows, gc * gq, kernel, "query_id long, id long, cos double", max(1, min(BLOCK, ROWS_OUT // max(1, k))))
+    return ranked(found, k)
 
 
 def knn_pairs(df: DataFrame, k: int = 20, min_score: float = -1.0) -> DataFrame:

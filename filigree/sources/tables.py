@@ -34,6 +34,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """Rows with ``turn``, their place from 0 by a column of distinct values.
+
+    Ranges of the column are numbered each in its own task; one count for each is gathered.
+    """
+    at = F.monotonically_increasing_id()
+    ranged = settle(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", at))
+    part = F.shiftright("__at", 33)
+    counts = sorted(ranged.groupBy(part.alias("part")).count().collect())
+    first, starts = 0, []
+    for r in counts:
+        starts.append((r["part"], first))
+        first += r["count"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "__part long, __first long"))
+    turn = (F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("turn")
+    return ranged.join(starts, part == F.col("__part")).select(*df.columns, turn)
+
+
 def ping(spark: SparkSession) -> bool:
     """Whether the session runs a job."""
     return spark.range(1).count() == 1
