@@ -148,19 +148,23 @@ def _equal_pairs(senses: DataFrame, threshold: float) -> DataFrame:
     return turn.where((F.col("turn") % 2 == 1) & F.col("j").isNotNull() & (F.col("q") >= threshold) & (F.col("q") > 1 - 1e-9)).select("i", "j", "q")
 
 
-def _sense_pairs(g: Graph, senses: DataFrame) -> DataFrame:
-    """Candidate pairs i, j, cos, same: all near ones."""
+def _matched_senses(g: Graph, senses: DataFrame) -> DataFrame:
+    """Best-first matching i, j, q of senses: id, word, pos, vector.
+
+    Pairs that reach the threshold come before all that the floor lets in.
+    """
     s = g.settings
-    pairs = similarity.pairs_above(senses.select("id", "vector"), s.q_min_l15)
+    found = matching.nearest_match(senses.select("id", "vector"), s.q_min_l15)
     if s.polysemy_q_floor >= s.q_min_l15:
         # The floor lets senses of one word match at any cosine.
-        a = senses.select(F.col("id").alias("i"), "word", "pos", F.col("vector").alias("v1"))
-        b = senses.select(F.col("id").alias("j"), "word", "pos", F.col("vector").alias("v2"))
-        alike = a.join(b, ["word", "pos"]).where("i < j").select("i", "j", V.dot(F.col("v1"), F.col("v2")).alias("cos"))
-        pairs = pairs.unionByName(alike).groupBy("i", "j").agg(F.max("cos").alias("cos"))
+        rest = senses.where("vector IS NOT NULL").join(found.select(F.explode(F.array("i", "j")).alias("id")), "id", "left_anti")
+        a = rest.select(F.col("id").alias("i"), "word", "pos", F.col("vector").alias("v1"))
+        b = rest.select(F.col("id").alias("j"), "word", "pos", F.col("vector").alias("v2"))
+        alike = a.join(b, ["word", "pos"]).where("i < j").select("i", "j", V.dot(F.col("v1"), F.col("v2")).alias("q"))
+        found = found.unionByName(matching.ordered_matching(alike, [-F.col("q")]))
     name = F.struct("word", "pos")
     a, b = senses.select(F.col("id").alias("i"), name.alias("wi")), senses.select(F.col("id").alias("j"), name.alias("wj"))
-    return pairs.join(a, "i").join(b, "j").withColumn("same", F.col("wi") == F.col("wj"))
+    return found.join(a, "i").join(b, "j").select("i", "j", V.floored(F.col("q"), F.col("wi") == F.col("wj"), s.polysemy_q_floor).alias("q"))
 
 
 def sense_edges(g: Graph) -> Tables:
@@ -176,8 +180,7 @@ def sense_edges(g: Graph) -> Tables:
         return {"sense_edges": settle(main.unionByName(extra)), "sense_parents": settle(up.unionByName(_parents(extra, "cm1_id")))}
     equal = settle(_equal_pairs(senses, s.q_min_l15))
     rest = senses.join(equal.select(F.explode(F.array("i", "j")).alias("id")), "id", "left_anti")
-    matched = matching.greedy_match(_sense_pairs(g, rest), s.q_min_l15, same_word=F.col("same"), polysemy_floor=s.polysemy_q_floor)
-    matched = settle(equal.unionByName(matched))
+    matched = settle(equal.unionByName(_matched_senses(g, rest)))
     side = _sides(g, senses)
     both = matched.join(side("i", 1), "i").join(side("j", 2), "j")
     both = both.withColumn("text", X.type_text(*[F.col(c) for c in ("w1", "a1", "s1", "w2", "a2", "s2")]))
@@ -261,7 +264,7 @@ def triads(g: Graph) -> Tables:
     taken = g.empty(PARENT)
     made, ups = g.empty(EDGE), taken
     for child in range(SENSE_LEVEL, 2, -1):
-        free = edges.join(taken, edges["id"] == taken["child_id"], "left_anti")
+        free = settle(edges.where(F.col("level").isin(child, child - 1)).join(taken, edges["id"] == taken["child_id"], "left_anti"))
         children, bridges = free.where(F.col("level") == child), free.where(F.col("level") == child - 1)
         if children.limit(2).count() < 2 or bridges.isEmpty():
             break

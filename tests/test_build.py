@@ -263,3 +263,17 @@ def test_equal_senses_match_as_greedy_matching(spark, tmp_path, n):
     g = build.Graph(spark, str(tmp_path), Settings(fake_embed=True, q_min_l15=0.3, polysemy_q_floor=0.0))
     got = rows(equal.select("i", "j")) + rows(matching.greedy_match(build._sense_pairs(g, rest), 0.3).select("i", "j"))
     assert sorted(got) == sorted(rows(want.select("i", "j")))
+
+
+def test_stages_list_no_pairs_of_senses(spark, small, monkeypatch):
+    """Where every pair of senses reaches the threshold, they are matched without a list of all pairs."""
+    from filigree import build_queries
+    from filigree.operators import matching, similarity
+
+    monkeypatch.setattr(similarity, "pairs_above", None)
+    monkeypatch.setattr(matching, "TAIL_VECTORS", 4)
+    g = build_queries._run(build_queries.supplier_graph(spark, small), "parse", "embed", "nodes", "sense_edges")
+    n = g.read("sense_nodes").count()
+    ends = g.read("sense_edges").select("cm1_id", "cm2_id").collect()
+    main = g.read("sense_parents").groupBy("child_id").count()
+    assert n == 19 and len(ends) == 10 and main.count() == n and main.where("count > 1").isEmpty()
