@@ -206,20 +206,25 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, *, block: int | None = None, skip_self: bool = False, threshold: float | None = None, bar: str | None = None) -> DataFrame:
+def measured(df: DataFrame) -> tuple[int, int]:
+    """How many vectors there are, and how many components they have at most."""
+    return tuple(df.where("vector IS NOT NULL").agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first())
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int, *, block: int | None = None, skip_self: bool = False, threshold: float | None = None, bar: str | None = None, counts: tuple[int, int, int] | None = None) -> DataFrame:
     """The k corpus rows with the largest dot product for each query, by an exact scan.
 
     queries, corpus: id (long, distinct), vector; rows without a vector take no part.
     Returns query_id, id, cos, rank (from 1); ties go to the smaller id.  Without
     queries or corpus there is no row.  threshold: what products have to reach.  bar: a
     column (long, under 2^53) of both; only corpus rows in which it is larger than in the
-    query count.  block: corpus rows that a task holds on average.
+    query count.  block: corpus rows that a task holds on average.  counts: rows of the
+    corpus, their components and rows of the queries, where these are known.
     """
-    size = corpus.where("vector IS NOT NULL").agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("width")).first()
-    asked = queries.where("vector IS NOT NULL").count()
+    n, width, asked = counts or (*measured(corpus), queries.where("vector IS NOT NULL").count())
     if block is None:
-        block = max(SUPER, min(MOST_HELD, HELD_BYTES // (8 * max(1, size["width"]))))
-    gc = _supers(size["n"], block)
+        block = max(SUPER, min(MOST_HELD, HELD_BYTES // (8 * max(1, width))))
+    gc = _supers(n, block)
     gq = max(_supers(asked, 8 * block), min(_supers(asked, BLOCK), _supers(LEAST_TASKS, gc)))
     # The corpus is held, super-block by super-block; queries stream past all of it.
     c = _packed(corpus, bar).withColumn("y", _draw(gc)).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(gq - 1)))).withColumn("side", F.lit(0))

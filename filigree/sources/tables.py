@@ -34,8 +34,8 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Rows with ``turn``, their place from 0 by a column of distinct values.
+def numbered(df: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """Rows with ``turn``, their place from 0 by a column of distinct values; how many there are.
 
     Ranges of the column are numbered each in its own task; one count for each is gathered.
     """
@@ -49,7 +49,7 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
         first += r["count"]
     starts = F.broadcast(df.sparkSession.createDataFrame(starts, "__part long, __first long"))
     turn = (F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("turn")
-    return ranged.join(starts, part == F.col("__part")).select(*df.columns, turn)
+    return ranged.join(starts, part == F.col("__part")).select(*df.columns, turn), first
 
 
 def ping(spark: SparkSession) -> bool:

@@ -55,6 +55,7 @@ def test_nearest_match_of_one_task_and_of_nothing(spark):
 def test_nearest_assignment_equals_serial_dictatorship(spark, monkeypatch, rows, alike, pairs, bridges):
     """More pairs than bridges and the other way; also where all pairs want the same bridges."""
     monkeypatch.setattr(matching, "LIST_ROWS", rows)
+    monkeypatch.setattr(matching, "OFFERS", min(rows, 1000))
     rng = np.random.default_rng(pairs)
     x, y = unit(rng, pairs, 3, pairs if alike else 0), unit(rng, bridges, 3)
     order = rng.permutation(pairs).tolist()
