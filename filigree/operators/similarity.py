@@ -22,7 +22,7 @@ BLOCK = 2048
 HELD_BYTES = 32 << 20
 MOST_HELD = 65_536
 #: Products, of streamed vectors with all held ones, that are in memory.
-PRODUCTS_AT_ONCE = 1 << 22
+PRODUCTS_AT_ONCE = 1 << 20
 #: Rows that a kernel's batch has at most, in a search.
 ROWS_OUT = 1 << 17
 #: Tasks that a search is cut into where the vectors are few.
@@ -33,6 +33,24 @@ MOST_TASKS = 100_000
 _FORM = "cell int, side int, id long, vector binary"
 
 
+def trimmed(run):
+    """A function for ``mapInArrow`` that gives memory back at its end; its worker lives on."""
+
+    def done(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not this C library
+            pass
+
+    return done
+
+
 def known(df: DataFrame, *more: str) -> DataFrame:
     """id (long), vector (doubles) and more columns of the rows that have a vector."""
     return df.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *more)
@@ -53,7 +71,7 @@ def _packed(df: DataFrame, bar: str | None = None) -> DataFrame:
             size = len(raw) // n if n else 0
             yield pa.record_batch([b.column(0), pa.array([raw[i * size : (i + 1) * size] for i in range(n)], pa.binary())], names=["id", "vector"])
 
-    return known(df, *([bar] if bar else [])).mapInArrow(run, "id long, vector binary")
+    return known(df, *([bar] if bar else [])).mapInArrow(trimmed(run), "id long, vector binary")
 
 
 def _supers(n: int, size: int) -> int:
@@ -119,7 +137,7 @@ def _streamed(rows: DataFrame, cells: int, kernel, schema: str, block: int = BLO
         yield from flush()
 
     dealt = rows.repartitionById(tasks, F.pmod("cell", F.lit(tasks))).sortWithinPartitions("cell", "side")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(trimmed(run), schema)
 
 
 def pairs_above(df: DataFrame, threshold: float, *, block: int = SUPER) -> DataFrame:

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from filigree.operators import similarity
 from filigree.sources.tables import settle
 
+#: Components of vectors that a batch of queries, each repeated for its probes, has at most.
+VALUES_OUT = 1 << 20
+
 
 @dataclass(frozen=True)
 class Index:
@@ -51,7 +54,7 @@ def build(df: DataFrame, centres: int = 64, seed: int = 42) -> Index:
                 cells = (x @ held.value.T).argmax(axis=1).astype(np.int32)
             yield pa.record_batch([*b.columns, pa.array(cells)], names=["id", "vector", "cell"])
 
-    filed = settle(rows.mapInArrow(run, "id long, vector array<double>, cell int"))
+    filed = settle(rows.mapInArrow(similarity.trimmed(run), "id long, vector array<double>, cell int"))
     sizes = {r["cell"]: r["count"] for r in filed.groupBy("cell").count().collect()}
     return Index(filed, matrix, sizes)
 
@@ -82,17 +85,19 @@ def search(index: Index, queries: DataFrame, k: int, *, probes: int = 16, skip_s
             if not b.num_rows:
                 continue
             x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-            order = np.argsort(-(x @ held.value[filled].T), axis=1, kind="stable")[:, :probes]
-            cells = filled[order]
-            rows = np.repeat(np.arange(len(x)), cells.shape[1])
-            yield pa.record_batch([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(cells.ravel().astype(np.int32))], names=["id", "vector", "cell"])
+            step = max(1, VALUES_OUT // (probes * x.shape[1]))
+            for a in range(0, len(x), step):
+                part = x[a : a + step]
+                cells = filled[np.argsort(-(part @ held.value[filled].T), axis=1, kind="stable")[:, :probes]]
+                rows = pa.array(a + np.repeat(np.arange(len(part)), cells.shape[1]))
+                yield pa.record_batch([b.column(0).take(rows), b.column(1).take(rows), pa.array(cells.ravel().astype(np.int32))], names=["id", "vector", "cell"])
 
     form = "id long, vector array<double>, cell int"
     c = index.rows.join(places, "cell").select("id", "vector", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")).alias("cell"), F.lit(0).alias("side"))
-    q = similarity.known(queries).mapInArrow(ask, form).join(places, "cell")
+    q = similarity.known(queries).mapInArrow(similarity.trimmed(ask), form).join(places, "cell")
     q = q.select("id", "vector", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("splits") - 1)).alias("cell"), F.lit(1).alias("side"))
     rows = c.unionByName(q)
-    pack = rows.select("cell", "side", "id", "vector").mapInArrow(_pack, "cell int, side int, id long, vector binary")
+    pack = rows.select("cell", "side", "id", "vector").mapInArrow(similarity.trimmed(_pack), "cell int, side int, id long, vector binary")
 
     def kernel(_, held, streamed):
         return None if streamed is None else similarity.best_of(held, streamed, k, skip_self)

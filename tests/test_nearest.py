@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from filigree.operators import graph, matching, similarity
+from filigree.operators import graph, matching, similarity, vector_index
 
 
 def unit(rng, n, width, copies=0):
@@ -102,3 +102,15 @@ def test_edge_search_lists_no_pairs(spark, small, monkeypatch):
     monkeypatch.setattr(similarity, "pairs_above", None)
     monkeypatch.setattr(matching, "TAIL_VECTORS", 100)
     assert queries.QUERIES["edge_search"](spark, small).count() == 10
+
+
+def test_index_asks_in_small_batches(spark, monkeypatch):
+    """A query is repeated for its probes in slices, whatever the size of the batch that comes in."""
+    monkeypatch.setattr(vector_index, "VALUES_OUT", 40)
+    x = unit(np.random.default_rng(5), 200, 4)
+    frame = framed(spark, x)
+    index = vector_index.build(frame, 8)
+    exact = similarity.search(frame, frame, 3, skip_self=True)
+    found = vector_index.search(index, frame, 3, probes=8, skip_self=True)
+    assert sorted(map(tuple, found.select("query_id", "id", "rank").collect())) == sorted(map(tuple, exact.select("query_id", "id", "rank").collect()))
+    assert vector_index.recall(found, exact).first()["recall"] == 1
