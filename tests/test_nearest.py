@@ -114,3 +114,13 @@ def test_index_asks_in_small_batches(spark, monkeypatch):
     found = vector_index.search(index, frame, 3, probes=8, skip_self=True)
     assert sorted(map(tuple, found.select("query_id", "id", "rank").collect())) == sorted(map(tuple, exact.select("query_id", "id", "rank").collect()))
     assert vector_index.recall(found, exact).first()["recall"] == 1
+
+
+def test_long_lists_come_in_small_batches(spark, monkeypatch):
+    """Rows that a kernel gives at once do not grow with k: fewer queries are taken at a time."""
+    seen, whole = [], similarity._streamed
+    monkeypatch.setattr(similarity, "_streamed", lambda rows, cells, kernel, schema, block: seen.append(block) or whole(rows, cells, kernel, schema, block))
+    frame = framed(spark, unit(np.random.default_rng(2), 40, 4))
+    for k in (3, 1000, 1_000_000):
+        assert similarity.search(frame, frame, k).count() == 40 * min(k, 40)
+        assert seen[-1] * min(k, 131_072) <= similarity.ROWS_OUT
